@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from .exact_dedup import OP9_SQL, op9_exact_dedup
 from .mixing import OP10_SQL, op10_mixing
+from .near_dedup import op7_near_dedup
 from .packing import op3_packing
 
 
 def queries() -> dict:
     return {
         "op3_packing": op3_packing,
+        "op7_near_dedup": op7_near_dedup,
         "op9_exact_dedup": op9_exact_dedup,
         "op10_mixing": op10_mixing,
     }
