@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .exact_dedup import OP9_SQL, op9_exact_dedup
+from .language_id import op1_language_id
 from .mixing import OP10_SQL, op10_mixing
 from .near_dedup import op7_near_dedup
 from .packing import op3_packing
@@ -10,6 +11,7 @@ from .packing import op3_packing
 
 def queries() -> dict:
     return {
+        "op1_language_id": op1_language_id,
         "op3_packing": op3_packing,
         "op7_near_dedup": op7_near_dedup,
         "op9_exact_dedup": op9_exact_dedup,
