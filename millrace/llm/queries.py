@@ -7,12 +7,14 @@ from .language_id import op1_language_id
 from .mixing import OP10_SQL, op10_mixing
 from .near_dedup import op7_near_dedup
 from .packing import op3_packing
+from .toxicity import op4_toxicity
 
 
 def queries() -> dict:
     return {
         "op1_language_id": op1_language_id,
         "op3_packing": op3_packing,
+        "op4_toxicity": op4_toxicity,
         "op7_near_dedup": op7_near_dedup,
         "op9_exact_dedup": op9_exact_dedup,
         "op10_mixing": op10_mixing,

@@ -70,19 +70,45 @@ def mix64(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def powers(n: int) -> np.ndarray:
+    """The base of the polynomial hash raised to 0 ... n - 1, modulo 2**64."""
+    out = np.full(n, _P, np.uint64)
+    out[:1] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
+class Spans:
+    """Polynomial hashes of spans of some bytes: that of ``xy`` is ``code(x) + powers[len(x)] * code(y)``."""
+
+    def __init__(self, raw: np.ndarray) -> None:
+        n = len(raw)
+        self.sums = np.zeros(n + 1, np.uint64)
+        if n:
+            np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * powers(n), dtype=np.uint64, out=self.sums[1:])
+        self.back = np.full(n + 1, _INVERSE, np.uint64)
+        self.back[0] = 1
+        self.back = np.cumprod(self.back, dtype=np.uint64)
+
+    def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return (self.sums[ends] - self.sums[starts]) * self.back[starts]
+
+
+def span_codes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The polynomial hash of each span."""
+    return Spans(raw)(starts, ends)
+
+
 def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each span of bytes, equal for equal spans wherever they lie."""
-    n = len(raw)
-    sums = np.zeros(n + 1, np.uint64)
-    if n:
-        powers = np.full(n, _P, np.uint64)
-        powers[0] = 1
-        powers = np.cumprod(powers, dtype=np.uint64)
-        np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * powers, dtype=np.uint64, out=sums[1:])
-    back = np.full(n + 1, _INVERSE, np.uint64)
-    back[0] = 1
-    back = np.cumprod(back, dtype=np.uint64)
-    return mix64((sums[ends] - sums[starts]) * back[starts])
+    return mix64(span_codes(raw, starts, ends))
+
+
+def member(values: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Place of each value in the sorted ``table``, -1 where it is not there."""
+    if not len(table):
+        return np.full(len(values), -1, np.int64)
+    at = np.minimum(np.searchsorted(table, values), len(table) - 1)
+    return np.where(table[at] == values, at, -1)
 
 
 def hash_of(text: str) -> np.uint64:
