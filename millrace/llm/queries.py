@@ -7,6 +7,7 @@ from .language_id import op1_language_id
 from .mixing import OP10_SQL, op10_mixing
 from .near_dedup import op7_near_dedup
 from .packing import op3_packing
+from .quality import op6_quality
 from .toxicity import op4_toxicity
 
 
@@ -15,6 +16,7 @@ def queries() -> dict:
         "op1_language_id": op1_language_id,
         "op3_packing": op3_packing,
         "op4_toxicity": op4_toxicity,
+        "op6_quality": op6_quality,
         "op7_near_dedup": op7_near_dedup,
         "op9_exact_dedup": op9_exact_dedup,
         "op10_mixing": op10_mixing,
