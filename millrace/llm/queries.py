@@ -8,6 +8,7 @@ from .mixing import OP10_SQL, op10_mixing
 from .near_dedup import op7_near_dedup
 from .packing import op3_packing
 from .quality import op6_quality
+from .topk import OP5_SQL, op5_topk
 from .toxicity import op4_toxicity
 
 
@@ -16,6 +17,7 @@ def queries() -> dict:
         "op1_language_id": op1_language_id,
         "op3_packing": op3_packing,
         "op4_toxicity": op4_toxicity,
+        "op5_topk": op5_topk,
         "op6_quality": op6_quality,
         "op7_near_dedup": op7_near_dedup,
         "op9_exact_dedup": op9_exact_dedup,
@@ -24,4 +26,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_exact_dedup": OP9_SQL, "op10_mixing": OP10_SQL}
+    return {"op5_topk": OP5_SQL, "op9_exact_dedup": OP9_SQL, "op10_mixing": OP10_SQL}
