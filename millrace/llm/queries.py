@@ -7,6 +7,7 @@ from .language_id import op1_language_id
 from .mixing import OP10_SQL, op10_mixing
 from .near_dedup import op7_near_dedup
 from .packing import op3_packing
+from .pii import op2_pii
 from .quality import op6_quality
 from .topk import OP5_SQL, op5_topk
 from .toxicity import op4_toxicity
@@ -15,6 +16,7 @@ from .toxicity import op4_toxicity
 def queries() -> dict:
     return {
         "op1_language_id": op1_language_id,
+        "op2_pii": op2_pii,
         "op3_packing": op3_packing,
         "op4_toxicity": op4_toxicity,
         "op5_topk": op5_topk,
