@@ -9,6 +9,7 @@ from .near_dedup import op7_near_dedup
 from .packing import op3_packing
 from .pii import op2_pii
 from .quality import op6_quality
+from .secrets import op8_secrets
 from .topk import OP5_SQL, op5_topk
 from .toxicity import op4_toxicity
 
@@ -22,6 +23,7 @@ def queries() -> dict:
         "op5_topk": op5_topk,
         "op6_quality": op6_quality,
         "op7_near_dedup": op7_near_dedup,
+        "op8_secrets": op8_secrets,
         "op9_exact_dedup": op9_exact_dedup,
         "op10_mixing": op10_mixing,
     }
