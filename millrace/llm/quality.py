@@ -70,7 +70,11 @@ def fit(sample: list[tuple[str, int]], c: float = 1.0, epochs: int = 20, seed: i
     y = np.array([1 if q else -1 for _, q in sample])
     if len(set(y.tolist())) < 2:
         return None
-    doc, slot = ngrams(pa.array([t for t, _ in sample], pa.string()))
+    parts = []
+    for start in range(0, len(sample), 64):  # n-grams of a few texts at a time: the driver's memory is small
+        doc, slot = ngrams(pa.array([t for t, _ in sample[start : start + 64]], pa.string()))
+        parts.append(((doc + start).astype(np.int32), slot.astype(np.int32)))
+    doc, slot = (np.concatenate(p) for p in zip(*parts))
     begin = np.searchsorted(doc, np.arange(len(y) + 1))
     rng = np.random.default_rng(seed)
 
