@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from bisect import bisect_left, insort
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -76,6 +77,38 @@ def fillings(sizes: list[int], counts: dict[int, int], space: int, limit: int) -
     return sorted(set(found), key=lambda f: (-sum(f), f)) or [()]
 
 
+def perfect(ascending: list[int], counts: dict[int, int], space: int, steps: int) -> tuple[int, ...] | None:
+    """The first set of remaining sizes, largest first, that fills ``space`` exactly; None if none is found in time."""
+    budget = [steps]
+
+    def grow(chosen: tuple[int, ...], left: int) -> tuple[int, ...] | None:
+        if left == 0:
+            return chosen
+        top = min(left, chosen[-1]) if chosen else left
+        at = bisect_left(ascending, top + 1) - 1
+        while at >= 0 and budget[0] > 0:
+            s = ascending[at]
+            at -= 1
+            if counts[s] > chosen.count(s):
+                budget[0] -= 1
+                got = grow((*chosen, s), left - s)
+                if got is not None:
+                    return got
+        return None
+
+    return grow((), space)
+
+
+def completions(sizes: list[int], counts: dict[int, int], space: int, limit: int) -> Iterator[tuple[int, ...]]:
+    """A perfect filling first, so that no others are enumerated unless the search comes back; then ``fillings``."""
+    exact = perfect(sizes[::-1], counts, space, limit * 32)
+    if exact is not None:
+        yield exact
+    for filling in fillings(sizes, counts, space, limit):
+        if filling != exact:
+            yield filling
+
+
 def bin_completion(lengths: list[int], capacity: int = CAPACITY, nodes: int = NODES) -> list[list[int]]:
     """Indices of ``lengths`` (each at most ``capacity``) by bin, in as few bins as the search finds.
 
@@ -94,7 +127,6 @@ def bin_completion(lengths: list[int], capacity: int = CAPACITY, nodes: int = NO
         counts[n] = counts.get(n, 0) + 1
     sizes = sorted(counts, reverse=True)
     answer: list[tuple[int, ...]] | None = None
-    packed: list[tuple[int, ...]] = []
     target = len(best) - 1
 
     def take(items: tuple[int, ...], by: int) -> None:
@@ -106,36 +138,36 @@ def bin_completion(lengths: list[int], capacity: int = CAPACITY, nodes: int = NO
             if counts[s] == 0:
                 sizes.remove(s)
 
-    # An explicit stack: a shard holds more bins than Python's recursion allows.
-    stack: list[tuple[int, list[tuple[int, ...]], int]] = []
-    waste = 0
-    while nodes > 0:
-        if not sizes:
-            answer, target = list(packed), len(packed) - 1
-            if len(packed) <= bound:
+    # An explicit stack, as a shard holds more bins than Python's recursion allows. An entry is an open bin: its largest
+    # length, its fillings (made when asked for), the waste before it and the filling in place.
+    stack: list[list] = []
+    waste, descend = 0, True
+    while True:
+        if descend and not sizes:
+            answer, target = [(head, *filling) for head, _, _, filling in stack], len(stack) - 1
+            if len(stack) <= bound:
+                break
+        elif descend:
+            if nodes <= 0:
                 break
-            options: list[tuple[int, ...]] = []
-        else:
             nodes -= 1
             head = sizes[0]
             take((head,), -1)
-            rest = fillings(sizes, counts, capacity - head, FILLINGS)
-            take((head,), 1)
-            options = [(head, *f) for f in rest]
-        stack.append((0, options, waste))
-        while stack:
-            at, options, before = stack.pop()
-            while len(packed) > len(stack):
-                take(packed.pop(), 1)
-            spare = target * capacity - total
-            if at < len(options) and before + capacity - sum(options[at]) <= spare:
-                stack.append((at + 1, options, before))
-                take(options[at], -1)
-                packed.append(options[at])
-                waste = before + capacity - sum(options[at])
-                break
+            stack.append([head, completions(sizes, counts, capacity - head, FILLINGS), waste, None])
         if not stack:
             break
+        head, rest, before, placed = stack[-1]
+        if placed is not None:
+            take(placed, 1)
+        filling = next(rest, None)
+        waste = before + capacity - head - sum(filling or ())
+        descend = filling is not None and waste <= target * capacity - total
+        if descend:
+            take(filling, -1)
+            stack[-1][3] = filling
+        else:
+            take((head,), 1)
+            stack.pop()
     if answer is None:
         return best
     by_size: dict[int, list[int]] = {}
@@ -191,7 +223,9 @@ def pack(
         names = ["doc_id", "piece", "token_start", "n_tokens", "shard", "bin", "bin_offset"]
         return pa.table({n: pa.array(c, k) for n, c, k in zip(names, columns, kinds)})
 
-    return sharded.groupBy("shard").applyInArrow(solve, _OUT)
+    # By a fixed number of partitions: the rows are few bytes but much work, and would be coalesced by their size.
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return sharded.repartition(parts, "shard").groupBy("shard").applyInArrow(solve, _OUT)
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
