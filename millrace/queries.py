@@ -2,10 +2,433 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .functions import pii, text
+from .functions.quality import Gates, reason
+from .operators import chunk, dedup, formats, records, score, split
+from .plans.generate import StubModel, distil
+from .plans.sanitize import Sanitizer, sanitize_lines, sanitize_records
+from .sources.jsonl import as_json, parse_records
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as records: the instruction names language and source, the output is the text."""
+    instruction = F.format_string("[%s] %s", "lang", "source").alias("instruction")
+    docs = _table(spark, sf_dir, "documents")
+    return docs.select(F.col("doc_id").alias("rec_id"), instruction, F.lit("").alias("input"), F.col("text").alias("output"))
+
+
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversation turns as records: a user's turn with the assistant's that follows it."""
+    turns = _table(spark, sf_dir, "conversations")
+    following = Window.partitionBy("conv_id").orderBy("turn")
+    turns = turns.withColumn("next_role", F.lead("role").over(following)).withColumn("next", F.lead("text").over(following))
+    asked = turns.filter("role = 'user' AND next_role = 'assistant'")
+    rec_id = (F.col("conv_id") * 1000 + F.col("turn")).alias("rec_id")
+    return asked.select(rec_id, F.col("text").alias("instruction"), F.lit("").alias("input"), F.col("next").alias("output"))
+
+
+_DOCS = """docs AS (
+  SELECT doc_id AS rec_id, '[' || lang || '] ' || source AS instruction, '' AS input, text AS output FROM documents
+)"""
+_PAIRS = """pairs AS (
+  SELECT conv_id * 1000 + turn AS rec_id, text AS instruction, '' AS input, next AS output FROM (
+    SELECT *, lead(role) OVER w AS next_role, lead(text) OVER w AS next FROM conversations
+    WINDOW w AS (PARTITION BY conv_id ORDER BY turn)
+  ) WHERE role = 'user' AND next_role = 'assistant'
+)"""
+
+
+def _clean(x: str) -> str:
+    tags = f"regexp_replace(nfc_normalize({x}), '<[^>]+>', ' ', 'g')"
+    control = f"regexp_replace({tags}, '[\\x00-\\x1F\\x7F-\\x{{9F}}]', ' ', 'g')"
+    return f"trim(regexp_replace({control}, '[\\s\\p{{Z}}]+', ' ', 'g'))"
+
+
+def _fold(x: str) -> str:
+    return f"trim(regexp_replace(lower({x}), '[\\s\\p{{Z}}]+', ' ', 'g'))"
+
+
+def _redact(x: str) -> str:
+    for _, name, pattern in pii.PATTERNS:
+        x = f"regexp_replace({x}, '{pattern}', '[PII_{name}]', 'g')"
+    return x
+
+
+def _words(x: str) -> str:
+    return f"regexp_extract_all({x}, '[\\p{{L}}\\p{{N}}_]+')"
+
+
+def _reason(x: str, g: Gates = Gates()) -> str:
+    ascii_only = f"length(regexp_replace({x}, '[^\\x00-\\x7F]', '', 'g'))::DOUBLE / length({x})"
+    unique = f"len(list_distinct({_words(x)}))::DOUBLE / len({_words(x)})"
+    return f"""CASE WHEN {x} IS NULL OR {x} = '' THEN 'empty text'
+      WHEN length({x}) < {g.min_chars} THEN 'too short' WHEN length({x}) > {g.max_chars} THEN 'too long'
+      WHEN len({_words(x)}) < {g.min_words} THEN 'too few words'
+      WHEN {unique} < {g.min_unique_ratio}::DOUBLE THEN 'low unique-word ratio'
+      WHEN {ascii_only} < {g.min_ascii_ratio}::DOUBLE THEN 'low ASCII ratio' END"""
+
+
+def _masked(x: str) -> str:
+    """The masks in SQL: texts between matches and masked matches, one after another."""
+    four = "right(regexp_replace(m, '\\D', '', 'g'), 4)"
+    masks = {
+        "email": "CASE WHEN strpos(m, '@') <= 2 THEN '***' ELSE left(m, 1) || '***' || m[strpos(m, '@') - 1] END || substr(m, strpos(m, '@'))",
+        "phone": f"'***-***-' || {four}",
+        "card": f"'****-****-****-' || {four}",
+        "ip": "split_part(m, '.', 1) || '.' || split_part(m, '.', 2) || '.***.***'",
+        "ssn": f"'***-**-' || {four}",
+    }
+    sql = f"SELECT *, {x} AS t FROM src"
+    for kind, name, pattern in pii.PATTERNS:
+        if kind in masks:
+            new = (
+                f"array_to_string(list_transform(list_zip(regexp_split_to_array(t, '{pattern}'), "
+                f"list_transform(regexp_extract_all(t, '{pattern}'), lambda m: {masks[kind]})), "
+                "lambda z: z[1] || coalesce(z[2], '')), '')"
+            )
+            new = f"CASE WHEN regexp_matches(t, '{pattern}') THEN {new} ELSE t END"
+        else:
+            new = f"regexp_replace(t, '{pattern}', '[PII_{name}]', 'g')"
+        sql = f"SELECT * REPLACE ({new} AS t) FROM ({sql})"
+    return sql
+
+
+QUERIES: dict = {}
+SQL: dict[str, str] = {}
+
+
+def _query(name: str, sql: str | None = None):
+    def register(f):
+        QUERIES[name] = f
+        if sql is not None:
+            SQL[name] = sql
+        return f
+
+    return register
+
+
+@_query(
+    "quality_reasons",
+    f"""WITH c AS (SELECT {_clean('text')} AS t FROM documents)
+SELECT coalesce({_reason('t')}, 'ok') AS reason, count(*) AS n FROM c GROUP BY 1""",
+)
+def quality_reasons(spark, sf_dir):
+    """Documents by the first gate that their cleaned text fails."""
+    cleaned = _table(spark, sf_dir, "documents").select(text.clean_text(F.col("text")).alias("t"))
+    return cleaned.groupBy(F.coalesce(reason(F.col("t")), F.lit("ok")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@_query("clean_text", f"SELECT doc_id, md5({_clean('text')}) AS h, length({_clean('text')}) AS n FROM documents")
+def clean_documents(spark, sf_dir):
+    """D1-D5 on documents."""
+    cleaned = _table(spark, sf_dir, "documents").select("doc_id", text.clean_text(F.col("text")).alias("t"))
+    return cleaned.select("doc_id", F.md5("t").alias("h"), F.length("t").cast("long").alias("n"))
+
+
+@_query("strip_html", f"SELECT page_id, md5({_clean('html')}) AS h FROM pages")
+def strip_html(spark, sf_dir):
+    """D1-D5 on pages, where there are tags."""
+    return _table(spark, sf_dir, "pages").select("page_id", F.md5(text.clean_text(F.col("html"))).alias("h"))
+
+
+@_query(
+    "word_counts",
+    f"SELECT doc_id, len({_words('text')})::INTEGER AS words, len(list_distinct({_words('text')}))::INTEGER AS distinct_words FROM documents",
+)
+def word_counts(spark, sf_dir):
+    """D24."""
+    every = text.words(F.col("text"))
+    return _table(spark, sf_dir, "documents").select(
+        "doc_id", F.size(every).alias("words"), F.size(F.array_distinct(every)).alias("distinct_words")
+    )
+
+
+_SOURCES = "src AS (SELECT 'd' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'p', page_id, url || ' ' || html FROM pages)"
+
+
+def _all_texts(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select(F.lit("d").alias("kind"), F.col("doc_id").alias("id"), "text")
+    pages = _table(spark, sf_dir, "pages").select(F.lit("p").alias("kind"), F.col("page_id").alias("id"), F.concat_ws(" ", "url", "html").alias("text"))
+    return docs.unionByName(pages)
+
+
+@_query("pii_redacted", f"WITH {_SOURCES} SELECT kind, id, md5({_redact('text')}) AS h, {_redact('text')} <> text AS changed FROM src")
+def pii_redacted(spark, sf_dir):
+    """All replacements in sequence."""
+    redacted = pii.redact_pii(F.col("text"))
+    return _all_texts(spark, sf_dir).select("kind", "id", F.md5(redacted).alias("h"), (redacted != F.col("text")).alias("changed"))
+
+
+@_query("pii_masked", f"WITH {_SOURCES} SELECT kind, id, md5(t) AS h FROM ({_masked('text')})")
+def pii_masked(spark, sf_dir):
+    """D15-D19 in the sequence of D20."""
+    return _all_texts(spark, sf_dir).select("kind", "id", F.md5(pii.redact_pii(F.col("text"), mask=True)).alias("h"))
+
+
+@_query(
+    "record_hash",
+    f"""SELECT doc_id, sha256('{{"output":' || to_json({_fold('text')})::VARCHAR || '}}') AS h FROM documents""",
+)
+def record_hash(spark, sf_dir):
+    """D25 of a record with one field."""
+    return _table(spark, sf_dir, "documents").select("doc_id", text.record_hash({"output": F.col("text")}).alias("h"))
+
+
+@_query(
+    "content_hashes",
+    f"WITH {_DOCS} SELECT rec_id, sha256(instruction || '|||' || output) AS content, sha256('{records.PROMPT}'.replace('\\n', chr(10)) || output) AS prompt FROM docs".replace(
+        f"'{records.PROMPT}'.replace('\\n', chr(10))", "'" + records.PROMPT.replace("\n", "' || chr(10) || '") + "'"
+    ),
+)
+def content_hashes(spark, sf_dir):
+    """B3, D26, D27."""
+    rows = records.prompts(_documents(spark, sf_dir), "output")
+    return rows.select(
+        "rec_id", text.content_hash(F.col("instruction"), F.col("output")).alias("content"), F.sha2("prompt", 256).alias("prompt")
+    )
+
+
+@_query(
+    "shingle_similarity",
+    """WITH p AS (SELECT doc_id, trim(lower(text), ' ' || chr(9) || chr(10) || chr(13)) AS t FROM documents WHERE length(text) < 1500),
+s AS (SELECT doc_id, CASE WHEN length(t) < 3 THEN [t] ELSE list_distinct(list_transform(range(1, length(t) - 1), lambda i: substr(t, i, 3))) END AS g FROM p)
+SELECT a.doc_id, len(a.g)::INTEGER AS n, len(list_intersect(a.g, b.g))::DOUBLE / (len(a.g) + len(b.g) - len(list_intersect(a.g, b.g))) AS similarity
+FROM s a JOIN s b ON b.doc_id = a.doc_id + 1""",
+)
+def shingle_similarity(spark, sf_dir):
+    """Each short document with the next."""
+    own = _table(spark, sf_dir, "documents").filter(F.length("text") < 1500).select("doc_id", text.shingles(F.col("text")).alias("g"))
+    other = own.select((F.col("doc_id") - 1).alias("doc_id"), F.col("g").alias("h"))
+    return own.join(other, "doc_id").select(
+        "doc_id", F.size("g").alias("n"), text.jaccard(F.col("g"), F.col("h")).alias("similarity")
+    )
+
+
+@_query(
+    "sft_text",
+    f"""WITH {_PAIRS} SELECT rec_id, '### Instruction:' || chr(10) || instruction || chr(10) || chr(10) || '### Response:' || chr(10) || output || '</s>' AS text FROM pairs""",
+)
+def sft_text(spark, sf_dir):
+    """D30."""
+    made = text.sft_text(F.col("instruction"), F.col("input"), F.col("output"))
+    return _pairs(spark, sf_dir).select("rec_id", made.alias("text"))
+
+
+@_query(
+    "raw_records",
+    f"WITH {_DOCS} SELECT * FROM docs WHERE rec_id % 7 <> 3 AND instruction <> '' AND output <> '' AND rec_id + 1 <= 500",
+)
+def raw_records(spark, sf_dir):
+    """A4, H2: documents as JSON lines, every seventh of them malformed, read back up to line 500."""
+    lines = as_json(_documents(spark, sf_dir), "rec_id").select(
+        (F.col("rec_id") + 1).alias("line_no"),
+        F.when(F.col("rec_id") % 7 == 3, F.concat(F.lit("no json "), "value")).otherwise(F.col("value")).alias("line"),
+    )
+    return parse_records(lines, max_records=500).withColumn("rec_id", F.col("rec_id") - 1)
+
+
+@_query("filter_outputs", f"WITH {_PAIRS} SELECT rec_id, instruction, output FROM pairs WHERE length(output) > 100")
+def filter_outputs(spark, sf_dir):
+    """B1, B2."""
+    rows = _pairs(spark, sf_dir).withColumnRenamed("output", "generation")
+    return records.keep_columns(records.rename_outputs(rows), ["rec_id", "instruction", "output"])
+
+
+@_query("checkpoint_remaining", f"WITH {_PAIRS} SELECT rec_id, instruction FROM pairs WHERE instruction NOT IN (SELECT instruction FROM pairs WHERE rec_id % 3 = 0)")
+def checkpoint_remaining(spark, sf_dir):
+    """Prompts not finished, a third of them being so."""
+    rows = _pairs(spark, sf_dir)
+    done = records.finished_hashes(rows.filter("rec_id % 3 = 0"), "instruction")
+    return records.remaining(rows, done, "instruction").select("rec_id", "instruction")
+
+
+@_query(
+    "fragments",
+    r"""WITH p AS (SELECT doc_id, unnest(list_filter(list_transform(regexp_split_to_array(text, '\n\s*\n'),
+  lambda x: regexp_replace(x, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')), lambda x: x <> '')) AS p FROM documents),
+f AS (SELECT doc_id, unnest(CASE WHEN length(p) <= 800 THEN [p] ELSE list_filter(list_transform(string_split(
+  regexp_replace(p, '([.!?])\s+([A-ZÀ-ɏ])', '\1' || chr(1) || '\2', 'g'), chr(1)),
+  lambda x: regexp_replace(x, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')), lambda x: x <> '') END) AS f FROM p)
+SELECT doc_id, count(*) AS n, sum(length(f))::BIGINT AS chars, min(md5(f)) AS least FROM f GROUP BY doc_id""",
+)
+def fragments(spark, sf_dir):
+    """Paragraphs, and sentences of the long ones."""
+    docs = _table(spark, sf_dir, "documents")
+    exploded = docs.select("doc_id", F.explode(chunk.fragments(F.col("text"))).alias("f"))
+    return exploded.groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.length("f")).alias("chars"), F.min(F.md5("f")).alias("least")
+    )
+
+
+@_query(
+    "overlap",
+    r"""WITH w AS (SELECT conv_id, turn, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations)
+SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::INTEGER AS chunk_no,
+  CASE WHEN before IS NULL THEN text ELSE right(before, 100) || ' ' || text END AS chunk FROM w""",
+)
+def overlap(spark, sf_dir):
+    """C7, on the turns of each conversation."""
+    turns = _table(spark, sf_dir, "conversations").groupBy("conv_id").agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("turn", "text"))), lambda t: t["text"]).alias("turns")
+    )
+    return turns.select("conv_id", F.posexplode(chunk.overlapped(F.col("turns"))).alias("chunk_no", "chunk"))
+
+
+@_query("character_chunks")
+def character_chunks(spark, sf_dir):
+    """Not expressible in SQL; tested by invariants."""
+    return chunk.chunk_documents(_table(spark, sf_dir, "documents"))
+
+
+@_query("semantic_chunks")
+def semantic_chunks(spark, sf_dir):
+    """Not expressible in SQL; tested against a plain version."""
+    return chunk.chunk_documents(_table(spark, sf_dir, "documents"), semantic=True)
+
+
+@_query("exact_dedup", f"WITH {_DOCS} SELECT min(rec_id) AS rec_id FROM docs GROUP BY instruction, output")
+def exact_dedup(spark, sf_dir):
+    """F1."""
+    return dedup.exact(_documents(spark, sf_dir)).select("rec_id")
+
+
+@_query("near_dedup")
+def near_dedup(spark, sf_dir):
+    """Not expressible in SQL; tested against the sequential definition."""
+    return dedup.deduplicate(_documents(spark, sf_dir)).select("rec_id")
+
+
+_STATUS = f"""c AS (SELECT rec_id, {_clean('instruction')} AS i, {_clean('output')} AS o FROM docs),
+r AS (SELECT rec_id, {_redact('i')} AS instruction, {_redact('o')} AS output, {_redact('i')} <> i OR {_redact('o')} <> o AS pii FROM c),
+q AS (SELECT *, left(instruction, 8192) || ' ' || '' || ' ' || left(output, 8192 - length(instruction)) AS qt FROM r),
+g AS (SELECT *, {_reason('qt')} AS reason, {_fold('instruction')} || chr(1) || {_fold('output')} AS h FROM q),
+n AS (SELECT *, CASE WHEN reason IS NULL THEN row_number() OVER (PARTITION BY h, reason IS NULL ORDER BY rec_id) END AS nth FROM g),
+s AS (SELECT *, CASE WHEN reason IS NOT NULL THEN 'quality' WHEN nth > 1 THEN 'duplicate' ELSE 'kept' END AS status FROM n)"""
+
+
+@_query("sanitize_records", f"WITH {_DOCS}, {_STATUS} SELECT rec_id, md5(instruction || chr(1) || output) AS h, pii, reason, status FROM s")
+def sanitize(spark, sf_dir):
+    """Every record with its status."""
+    done = sanitize_records(_documents(spark, sf_dir), Sanitizer(require_fields=("instruction", "output")))
+    return done.select("rec_id", F.md5(F.concat_ws("\x01", "instruction", "output")).alias("h"), "pii", "reason", "status")
+
+
+@_query(
+    "sanitize_counters",
+    f"""WITH {_DOCS}, {_STATUS} SELECT count(*) AS total, count_if(status = 'kept')::BIGINT AS kept,
+  count_if(status = 'quality')::BIGINT AS filtered_quality, 0::BIGINT AS filtered_require,
+  count_if(status = 'duplicate')::BIGINT AS deduplicated, count_if(status = 'kept' AND pii)::BIGINT AS pii_redacted FROM s""",
+)
+def sanitize_counters(spark, sf_dir):
+    """G1, on JSON lines of any shape."""
+    lines = as_json(_documents(spark, sf_dir), "rec_id").select(F.col("rec_id").alias("line_no"), F.col("value").alias("line"))
+    return score.counters(sanitize_lines(lines, Sanitizer(require_fields=("instruction", "output"))))
+
+
+@_query(
+    "dataset_score",
+    f"""WITH {_PAIRS}, a AS (SELECT count(*) AS record_count, avg(length(output)) AS avg_output_length,
+  count(DISTINCT instruction)::DOUBLE / count(*) AS unique_ratio FROM pairs)
+SELECT CASE WHEN record_count >= 100 AND avg_output_length >= 300 AND unique_ratio >= 0.95::DOUBLE THEN 'SUPER'
+  WHEN record_count >= 50 AND avg_output_length >= 200 AND unique_ratio >= 0.85::DOUBLE THEN 'GOOD'
+  WHEN record_count >= 20 AND avg_output_length >= 100 AND unique_ratio >= 0.7::DOUBLE THEN 'NORMAL' ELSE 'BAD' END AS grade,
+  record_count, avg_output_length, unique_ratio,
+  record_count || ' records generated · Average output length: ' || round_even(avg_output_length, 0)::BIGINT || ' chars · Instruction uniqueness: '
+  || round_even(unique_ratio * 100, 0)::BIGINT || '%' || CASE WHEN avg_output_length < 100 THEN ' · ⚠ Outputs are very short — consider using Research mode.' ELSE '' END
+  || CASE WHEN unique_ratio < 0.7 THEN ' · ⚠ Many duplicate instructions — increase dataset_size or source material.' ELSE '' END AS details FROM a""",
+)
+def dataset_score(spark, sf_dir):
+    """A6, F5, G2-G4."""
+    return score.score(_pairs(spark, sf_dir))
+
+
+@_query("prompt_limit", f"WITH {_DOCS} SELECT rec_id FROM docs ORDER BY rec_id LIMIT 150")
+def prompt_limit(spark, sf_dir):
+    """H1."""
+    return split.first_rows(_documents(spark, sf_dir).select("rec_id"), 150, ["rec_id"])
+
+
+@_query(
+    "ensemble_split",
+    f"""WITH {_DOCS}, n AS (SELECT rec_id, row_number() OVER (ORDER BY rec_id) - 1 AS i, greatest(1, count(*) OVER () // 3) AS size FROM docs)
+SELECT rec_id, least(i // size, 2)::INTEGER AS part, ['a', 'b', 'c'][least(i // size, 2) + 1] AS model FROM n""",
+)
+def ensemble_split(spark, sf_dir):
+    """H3."""
+    return split.ensemble_split(_documents(spark, sf_dir).select("rec_id"), ["a", "b", "c"], ["rec_id"])
+
+
+@_query("union_parts", f"WITH {_DOCS} SELECT rec_id, (CASE WHEN rec_id % 2 = 0 THEN 0 ELSE 1 END)::INTEGER AS part FROM docs")
+def union_parts(spark, sf_dir):
+    """A10, H4."""
+    rows = _documents(spark, sf_dir).select("rec_id")
+    return split.union_parts([rows.filter("rec_id % 2 = 0"), rows.filter("rec_id % 2 = 1")])
+
+
+_FORMAT_SQL = {
+    "alpaca": "instruction, input, output",
+    "sharegpt": "[{'from': 'human', 'value': instruction}, {'from': 'gpt', 'value': output}] AS conversations",
+    "chatml": "[{'role': 'user', 'content': instruction}, {'role': 'assistant', 'content': output}] AS messages",
+    "openai": f"[{{'role': 'system', 'content': '{formats.SYSTEM}'}}, {{'role': 'user', 'content': instruction}}, "
+    "{'role': 'assistant', 'content': output}] AS messages",
+}
+for _name, _columns in _FORMAT_SQL.items():
+
+    @_query(f"format_{_name}", f"WITH {_PAIRS} SELECT rec_id, {_columns} FROM pairs")
+    def _convert(spark, sf_dir, name=_name):
+        """I1-I5."""
+        return formats.convert(_pairs(spark, sf_dir), name, keep=["rec_id"])
+
+
+@_query(
+    "format_with_input",
+    f"WITH {_PAIRS} SELECT rec_id, instruction || chr(10) || chr(10) || 'Context: ' || output AS human FROM pairs",
+)
+def format_with_input(spark, sf_dir):
+    """I2 with an input."""
+    rows = formats.convert(_pairs(spark, sf_dir).withColumn("input", F.col("output")), "sharegpt", keep=["rec_id"])
+    return rows.select("rec_id", F.col("conversations")[0]["value"].alias("human"))
+
+
+@_query(
+    "preview",
+    f"WITH {_PAIRS} SELECT rec_id, [{{'role': 'user', 'content': instruction}}, {{'role': 'assistant', 'content': output}}] AS turns FROM pairs ORDER BY rec_id LIMIT 5",
+)
+def preview(spark, sf_dir):
+    """A13, I8."""
+    return formats.preview(formats.convert(_pairs(spark, sf_dir), "sharegpt", keep=["rec_id"]))
+
+
+@_query("total_bytes", "SELECT sum(octet_length(encode(html)))::BIGINT AS total_bytes FROM pages")
+def total_bytes(spark, sf_dir):
+    """G5."""
+    return score.total_bytes(_table(spark, sf_dir, "pages").select(F.octet_length("html").cast("long").alias("length")))
+
+
+@_query("safe_names", "SELECT page_id, regexp_full_match(url, '[\\p{L}\\p{N}_\\-. ]+') AS safe FROM pages")
+def safe_names(spark, sf_dir):
+    """B8."""
+    return _table(spark, sf_dir, "pages").select("page_id", records.safe_name(F.col("url")).alias("safe"))
+
+
+@_query("distilled")
+def distilled(spark, sf_dir):
+    """J1-J4 with the deterministic model: not expressible in SQL."""
+    rows = records.prompts(chunk.chunk_documents(_table(spark, sf_dir, "documents"), semantic=True))
+    rows = split.first_rows(rows, 200, ["doc_id", "chunk_no"]).withColumn("instruction", F.col("prompt"))
+    return distil(rows, StubModel(), 2, keep=("doc_id", "chunk_no"))
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
