@@ -106,7 +106,7 @@ def quality_text(fields: list[Column], budget: int = 8192) -> Column:
     for field in fields:
         left = F.greatest(F.lit(budget) - used, F.lit(0))
         parts.append(F.when(field.isNotNull() & (left > 0), F.substring(field, F.lit(1), left)))
-        used = used + F.coalesce(F.least(F.length(field), left), F.lit(0))
+        used = used + F.least(F.coalesce(F.length(field), F.lit(0)), left)
     return F.concat_ws(" ", *parts)
 
 

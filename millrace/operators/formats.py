@@ -44,10 +44,15 @@ REQUIRED = {"alpaca": ["instruction", "output"], "sharegpt": ["conversations"],
 _ROLES = {"human": "user", "user": "user", "gpt": "assistant", "assistant": "assistant", "system": "system"}
 
 
-def convert(records: DataFrame, name: str, keep: list[str] | None = None) -> DataFrame:
-    """Records ``(instruction, input, output)`` in the named format, with the ``keep`` columns in front."""
+def check_format(name: str) -> None:
+    """A name that is no format's is a ValueError."""
     if name not in FORMATS:
         raise ValueError(f"unknown format {name!r}; known are {sorted(FORMATS)}")
+
+
+def convert(records: DataFrame, name: str, keep: list[str] | None = None) -> DataFrame:
+    """Records ``(instruction, input, output)`` in the named format, with the ``keep`` columns in front."""
+    check_format(name)
     return records.select(*(keep or []), *FORMATS[name]())
 
 
