@@ -176,22 +176,24 @@ def sanitise(
             starts, ends, doc = runs(letters()[raw], at)
             hashes = _signed(span_hashes(raw, starts, ends))
             if shared.value is not None:
-                place = member(hashes, shared.value[0])
-                bad = {h: bool(shared.value[1][p]) for h, p in zip(hashes[place >= 0].tolist(), place[place >= 0].tolist())}
-                hit = place >= 0
+                known_terms, gone = shared.value
             else:
-                own = batch.column(2).to_pylist()
-                bad = {t["term"]: t["remove"] for row in own for t in row or ()}
-                hit = member(hashes, np.sort(np.array(list(bad), np.int64))) >= 0
+                own = {t["term"]: t["remove"] for row in batch.column(2).to_pylist() for t in row or ()}
+                known_terms = np.sort(np.array(list(own), np.int64))
+                gone = np.array([own[t] for t in known_terms.tolist()], bool)
+            place = member(hashes, known_terms)
+            hit = place >= 0
+            # The words to change, by text, as they are spelled in lower case.
+            bad: dict[int, dict[str, bool]] = {}
+            for d, s, e, p in zip(doc[hit].tolist(), starts[hit].tolist(), ends[hit].tolist(), place[hit].tolist()):
+                bad.setdefault(d, {})[raw[s:e].tobytes().decode(errors="replace")] = bool(gone[p])
             touched = _may_name(texts)
             touched[doc[hit]] = True
-            named_terms = np.zeros(n, bool)
-            named_terms[doc[hit]] = True
             new = []
             for i in np.flatnonzero(touched).tolist():
                 text = texts[i].as_py()
                 out, last = [], 0
-                plain = lambda s, i=i: _reword(s, bad, counts, i) if named_terms[i] else s
+                plain = lambda s, i=i: _reword(s, bad[i], counts, i) if i in bad else s
                 for m in ENTITY.finditer(text):
                     out += [plain(text[last : m.start()]), f"[{m.lastgroup}]"]
                     last = m.end()
@@ -211,15 +213,15 @@ def sanitise(
     return named.mapInArrow(clean, _OUT)
 
 
-def _reword(text: str, bad: dict[int, bool], counts: np.ndarray, i: int) -> str:
+def _reword(text: str, bad: dict[str, bool], counts: np.ndarray, i: int) -> str:
     """The text with revealing terms generalised or removed."""
 
     def one(m: re.Match) -> str:
-        h = int(np.uint64(hash_of(m.group().lower())).view(np.int64))
-        if h not in bad:
+        remove = bad.get(m.group().lower())
+        if remove is None:
             return m.group()
-        counts[2 if bad[h] else 1, i] += 1
-        return "" if bad[h] else "[TERM]"
+        counts[2 if remove else 1, i] += 1
+        return "" if remove else "[TERM]"
 
     return _WORD.sub(one, text)
 
