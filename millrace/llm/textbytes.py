@@ -26,7 +26,7 @@ def alnum() -> np.ndarray:
     return lut
 
 
-def slices(batches, column: str, limit: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+def slices(batches, column: str, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The batches in cuts of about ``limit`` bytes of ``column`` (one row at least)."""
     for batch in batches:
         if not batch.num_rows:
