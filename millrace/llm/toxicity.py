@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import table
-from .textbytes import Spans, as_bytes, hash_of, letters, member, mix64, powers, runs, slices, span_codes
+from .textbytes import Spans, as_bytes, hash_of, letters, member, mix64, powers, runs, slices, span_codes, span_hashes
 
 #: Bound of the labelled sample from which word weights are learned, for each class.
 DOCS_PER_CLASS = 3000
@@ -91,43 +91,46 @@ def language_model(counts: np.ndarray, lexicon: dict[str, float] | None = None)
 def decode(token: str, lm: np.ndarray, spaced: bool = False) -> str:
     """The most probable original of a token (Viterbi over its lattice of readings).
 
-    A sign of ``LEET`` reads as one of its letters or as itself; a run of equal signs as written, or as one or two of
-    them; letters that stood apart (``spaced``) may have had a word's end between them. Each reading has a channel cost
+    A sign of ``LEET`` reads as one of its letters or as itself; a run of equal signs as so many, or as one or two; letters that stood apart (``spaced``) may have had a word's end between them. Each reading has a channel cost
     and the character model scores what was read.
     """
-    n = len(token)
-    best: list[dict[tuple[int, int], tuple[float, str]]] = [{} for _ in range(n + 1)]
-    best[0][0, 0] = (0.0, "")
-
-    def reach(at: int, state: tuple[int, int], score: float, text: str, emitted: str, cost: float) -> None:
-        a, b = state
-        for byte in emitted.encode():
-            s = int(_LUT[byte])
-            score += lm[a, b, s]
-            a, b = b, s
-        score += cost
-        have = best[at].get((a, b))
-        text += emitted
-        if have is None or (score, text) > have:
-            best[at][a, b] = (score, text)
-
-    for i in range(n):
-        c = token[i]
-        end = i + 1
-        while end < n and token[end] == c:
-            end += 1
-        begins = i == 0 or token[i - 1] != c
+    runs_of: list[tuple[str, int]] = []
+    for c in token:
+        if runs_of and runs_of[-1][0] == c:
+            runs_of[-1] = (c, runs_of[-1][1] + 1)
+        else:
+            runs_of.append((c, 1))
+    # By the last two symbols: the best score, and what was read as a chain of (before, piece).
+    best: dict[tuple[int, int], tuple[float, tuple]] = {(0, 0): (0.0, ())}
+    for at, (c, n) in enumerate(runs_of):
         readings = [(c, 0.0), *((x, -0.7 if c != "*" else -1.5) for x in LEET.get(c, ""))]
-        for state, (score, text) in list(best[i].items()):
-            for emitted, cost in readings:
-                reach(i + 1, state, score, text, emitted, cost)
-                if begins and end - i >= 2:
-                    reach(end, state, score, text, emitted, cost - (0.5 if end - i > 2 else 2.0))
-                    if end - i > 2:
-                        reach(end, state, score, text, emitted * 2, 2 * cost - 0.7)
-                if spaced and 0 < i:
-                    reach(i + 1, state, score, text, " " + emitted, cost - 1.0)
-    return max((score + lm[a, b, 0], text) for (a, b), (score, text) in best[n].items())[1]
+        pieces: list[tuple[str, float]] = []
+        for x, cost in readings:
+            pieces.append((x * n, n * cost))
+            if n >= 2:
+                pieces.append((x, cost - (0.5 if n > 2 else 2.0)))
+            if n > 2:
+                pieces.append((x * 2, 2 * cost - 0.7))
+        if spaced and at:
+            pieces += [(" " + piece, cost - 1.0) for piece, cost in pieces]
+        reached: dict[tuple[int, int], tuple[float, tuple]] = {}
+        for (a0, b0), (before, chain) in best.items():
+            for piece, cost in pieces:
+                score, a, b = before + cost, a0, b0
+                for byte in piece.encode():
+                    s = int(_LUT[byte])
+                    score += lm[a, b, s]
+                    a, b = b, s
+                have = reached.get((a, b))
+                if have is None or score > have[0]:
+                    reached[a, b] = (score, (chain, piece))
+        best = reached
+    chain = max(((score + lm[a, b, 0], chain) for (a, b), (score, chain) in best.items()), key=lambda x: x[0])[1]
+    out = []
+    while chain:
+        chain, piece = chain
+        out.append(piece)
+    return "".join(reversed(out))
 
 
 def squeeze(word: str) -> str:
@@ -349,14 +352,21 @@ def fit(sample: list[tuple[str, int]], counts: np.ndarray, features: int = 1000,
     if len(set(y.tolist())) < 2:
         return channel
     texts = pa.array([t for t, _ in sample], pa.string())
-    doc, key, words = [], [], {}
-    for start in range(0, len(sample), 128):
-        part = texts.slice(start, 128)
-        d, k, got = text_features(channel, part, known=False)
-        doc.append(d + start)
-        key.append(k)
-        for text in pc.utf8_lower(part).to_pylist() + [read for _, _, read in got.found]:
-            words.update(dict.fromkeys(_words(text)))
+
+    def parts():
+        """(first text, features) of a few texts at a time: the driver's memory is small."""
+        for start in range(0, len(sample), 64):
+            yield start, text_features(channel, texts.slice(start, 64), known=False)
+
+    # Most features are rare: a first pass counts them by slot, a second keeps those whose slot is not.
+    slots = np.zeros(1 << 22, np.int32)
+    for _, (_, k, _) in parts():
+        np.add.at(slots, (k >> np.uint64(42)).astype(np.int64), 1)
+    doc, key = [], []
+    for start, (d, k, _) in parts():
+        often = slots[(k >> np.uint64(42)).astype(np.int64)] >= least
+        doc.append(d[often] + start)
+        key.append(k[often])
     doc, key = np.concatenate(doc), np.concatenate(key)
     hashes, inverse = np.unique(key, return_inverse=True)
     a = np.bincount(inverse, y[doc], len(hashes))
@@ -384,8 +394,17 @@ def fit(sample: list[tuple[str, int]], counts: np.ndarray, features: int = 1000,
     k = int(np.argmax(np.where(np.append(np.diff(p[order]) != 0, True), f1, 0)))
     below = p[order][k + 1] if k + 1 < len(order) else 0.0
     w, bias = regress(x, y)
-    heavy = {int(h) for h, v in zip(hashes[chosen], w) if v > 0.25}
-    lexicon = sorted(s for s in words if int(hash_of(s)) in heavy)
+    heavy = hashes[chosen][w > 0.25]
+    spelled: set[str] = set()
+    for start, (_, _, got) in parts():
+        low = pc.utf8_lower(texts.slice(start, 64)).to_pylist() + [read for _, _, read in got.found]
+        words = list({w for t in low for w in _words(t)})
+        if words:
+            raw = np.frombuffer("".join(words).encode(), np.uint8)
+            size = np.array([len(w.encode()) for w in words])
+            hit = member(span_hashes(raw, np.cumsum(size) - size, np.cumsum(size)), heavy) >= 0
+            spelled.update(w for w, h in zip(words, hit) if h)
+    lexicon = sorted(spelled)
     some = w != 0
     return Channel(
         language_model(counts, dict.fromkeys(lexicon, 1.0)),
