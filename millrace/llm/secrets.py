@@ -28,7 +28,7 @@ WIDTH, FILTERS, HIDDEN = 5, 24, 16
 #: Values after names that ask for a secret, and runs of token characters with a digit; all are candidates.
 KEYED = re.compile(
     rb"(?i)(?:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth|bearer|credential|private[_-]?key)"
-    rb"[\w-]*[\"']?\s*(?:[:=]|=>|\s)\s*[\"']?([^\s\"',;<>|]{4,})"
+    rb"[\w-]{0,40}[\"']?\s{0,8}(?:[:=]|=>|\s)\s{0,8}[\"']?([^\s\"',;<>|]{4,})"
 )
 TOKEN = re.compile(rb"[A-Za-z0-9_+/~-][A-Za-z0-9_+/.~-]{6,}[A-Za-z0-9_+/~-]=*")
 _DIGIT = re.compile(rb"\d")
@@ -283,9 +283,10 @@ def scan(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str =
                 text = raw[at[i] : at[i + 1]].tobytes()
                 if digit[at[i + 1]] == digit[at[i]] and not _NAMES.search(text):
                     continue
+                head, last = 0, 0
                 for s, e in candidates(text):
                     w = windows(text, s, e)
-                    head = len(text[:s].decode(errors="replace"))
+                    head, last = head + len(text[last:s].decode(errors="replace")), s
                     value = text[s:e].decode(errors="replace")
                     owner += [len(found)] * len(w)
                     found.append((ids[i], head, len(value), value[:4]))
