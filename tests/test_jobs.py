@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import shutil
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
@@ -108,10 +110,11 @@ class Long(generate.StubModel):
         return [f"{'An answer of many different words about it. ' * 3}{i}" for i in instructions]
 
 
-def test_whole_job(spark, tmp_path, monkeypatch):
-    monkeypatch.chdir(tmp_path)
+def test_whole_job(spark, tmp_path, request):
+    folder = f"checkpoint-{uuid.uuid4().hex}"  # must be relative; Spark resolves it where it was started
+    request.addfinalizer(lambda: shutil.rmtree(folder, ignore_errors=True))
     docs = spark.createDataFrame([(i, f"Paragraph {i} about {'thing ' * (i % 7 + 1)}.\n\nSecond part {i * 31}.") for i in range(40)], "doc_id long, text string")
-    settings = config.GenerationConfig("m1, m2", dataset_size=100, use_semantic_chunking=True, enable_dedup=False, sanitize_dataset=True, checkpoint_dir="cp", quality_mode="fast")
+    settings = config.GenerationConfig("m1, m2", dataset_size=100, use_semantic_chunking=True, enable_dedup=False, sanitize_dataset=True, checkpoint_dir=folder, quality_mode="fast")
     seen = []
     distil.run(docs, lambda name: Long(), settings, str(tmp_path / "out"), seen.append)
     out = [json.loads(v) for v in lines_of(spark, tmp_path / "out")]
