@@ -59,22 +59,23 @@ MASKS: dict[str, Callable[[Column], Column]] = {
 }
 
 
-def _stages(text: Column, mask: bool) -> tuple[Column, Column]:
-    found = F.lit(False)
+def _stages(text: Column, mask: bool) -> Column:
     for kind, name, pattern in PATTERNS:
-        found = found | text.rlike(pattern)
         if mask and kind in MASKS:
             text = replace_each(text, pattern, MASKS[kind])
         else:
             text = F.regexp_replace(text, pattern, f"[PII_{name}]")
-    return text, found
+    return text
 
 
 def redact_pii(text: Column, mask: bool = False) -> Column:
     """The text with personal data replaced by its class, or partly masked."""
-    return F.when(text.rlike(CANDIDATE), _stages(text, mask)[0]).otherwise(text)
+    return F.when(text.rlike(CANDIDATE), _stages(text, mask)).otherwise(text)
 
 
 def has_pii(text: Column) -> Column:
-    """Whether any pattern matches the text at its place in the sequence."""
-    return F.coalesce(F.when(text.rlike(CANDIDATE), _stages(text, False)[1]), F.lit(False))
+    """Whether any pattern matches the text at its place in the sequence.
+
+    No match equals what replaces it, so that is whether redaction changes the text.
+    """
+    return F.coalesce(redact_pii(text) != text, F.lit(False))

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import words
+from .text import bound, words
 
 
 @dataclass(frozen=True)
@@ -23,17 +23,22 @@ class Gates:
 
 def reason(text: Column, gates: Gates = Gates()) -> Column:
     """Name of the first gate that the text fails; null where it passes all."""
-    every = words(text)
     length = F.length(text)
-    unique = F.size(F.array_distinct(every)) / F.size(every)
     ascii_only = F.length(F.regexp_replace(text, r"[^\x00-\x7F]", "")) / length
+
+    def by_words(every: Column) -> Column:
+        unique = F.size(F.array_distinct(every)) / F.size(every)
+        return (
+            F.when(F.size(every) < gates.min_words, "too few words")
+            .when((F.size(every) > 0) & (unique < gates.min_unique_ratio), "low unique-word ratio")
+            .when(ascii_only < gates.min_ascii_ratio, "low ASCII ratio")
+        )
+
     return (
         F.when(text.isNull() | (text == ""), "empty text")
         .when(length < gates.min_chars, "too short")
         .when(length > gates.max_chars, "too long")
-        .when(F.size(every) < gates.min_words, "too few words")
-        .when((F.size(every) > 0) & (unique < gates.min_unique_ratio), "low unique-word ratio")
-        .when(ascii_only < gates.min_ascii_ratio, "low ASCII ratio")
+        .otherwise(bound(words(text), by_words))
     )
 
 

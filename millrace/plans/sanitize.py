@@ -56,17 +56,15 @@ def sanitize_records(
     the order of the gates; the first of equal normalised records stays. Null fields stay null.
     """
     cleaned = records.withColumn("__mr_require", has_required(records, list(settings.require_fields)))
+    cleaned = cleaned.withColumns({f: clean_text(F.col(f), settings.clean_html) for f in fields})
     found = F.lit(False)
-    for f in fields:
-        cleaned = cleaned.withColumn(f, clean_text(F.col(f), settings.clean_html))
     if settings.remove_pii:
+        cleaned = cleaned.withColumns({f"__mr_{f}": pii.redact_pii(F.col(f), settings.pii_mask) for f in fields})
         for f in fields:
-            found = found | pii.has_pii(F.col(f))
-        cleaned = cleaned.withColumn("pii", found)
-        for f in fields:
-            cleaned = cleaned.withColumn(f, pii.redact_pii(F.col(f), settings.pii_mask))
+            found = found | F.coalesce(F.col(f"__mr_{f}") != F.col(f), F.lit(False))
+        cleaned = cleaned.withColumn("pii", found).withColumns({f: F.col(f"__mr_{f}") for f in fields})
     else:
-        cleaned = cleaned.withColumn("pii", F.lit(False))
+        cleaned = cleaned.withColumn("pii", found)
     gated = cleaned.withColumn("__mr_reason", reason(quality_text([F.col(f) for f in fields]), settings.gates))
     gated = gated.withColumn("__mr_hash", record_hash({f: F.col(f) for f in fields}))
     marked = _marked(gated, settings, order)
