@@ -1,24 +1,30 @@
-"""Lineage cuts in the folder that all executors share."""
+"""The folder that all executors share, and lineage cuts in it."""
 
 from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once and checkpointed under ``spark.checkpoint.dir``.
+def shared_folder(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``.
 
-    Where that is unset, a local master gets a temporary folder; a cluster, whose executors share none, an error.
+    Only where that is unset, and only on a local master, a temporary folder takes its place; on a cluster a missing
+    setting is an error, as executors do not share local disks.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if folder is None:
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="millrace-")
     if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not sc.master.startswith("local["):
-                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="millrace-")
         sc.setCheckpointDir(folder)
+    return folder
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` computed once and checkpointed in the shared folder, so that a lost executor costs no rework."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
