@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm.common import stored, table
+from millrace.llm.common import discard, stored, table
 from millrace.llm.exact_dedup import exact_dedup
 from millrace.llm.language_id import keep_identified
 from millrace.llm.mixing import mix
@@ -50,8 +50,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each but the last is stored as Parquet in the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir))
+    """All stages over ``documents``; each but the last is stored as Parquet in the shared folder and read again.
+
+    A stage's table is deleted once the next one is stored; that of the last but one stays for the result to read.
+    """
+    docs, before = table(spark, sf_dir, "documents"), None
+    for _, stage in STAGES[:-1]:
+        docs, path = stored(stage(spark, docs, sf_dir))
+        if before:
+            discard(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -2,42 +2,28 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..runtime import cut, shared_folder
+
+__all__ = ["cut", "discard", "stored", "table"]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the Parquet tables under ``sf_dir``."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: the session's ``spark.checkpoint.dir``.
-
-    Only where that is unset, and only on a local master, a temporary folder takes its place; on a cluster a missing
-    setting is an error, as executors do not share local disks.
-    """
-    sc = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if folder is None:
-        if not sc.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="millrace-")
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(folder)
-    return folder
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` written once as Parquet in the shared folder and read again, with its lineage cut."""
+def stored(df: DataFrame) -> tuple[DataFrame, str]:
+    """``df`` written once as Parquet in the shared folder and read again, with its lineage cut; and the path."""
     path = f"{shared_folder(df.sparkSession)}/millrace-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once and checkpointed in the shared folder, so that a lost executor costs no rework."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete what ``stored`` wrote, once nothing reads it any more."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)

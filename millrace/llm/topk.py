@@ -195,7 +195,7 @@ def nearest_neighbours(
         if held:
             yield emit(np.concatenate(ids), np.concatenate(xs))
 
-    blocks = stored(placed.mapInArrow(build, _BLOCK))
+    blocks, _ = stored(placed.mapInArrow(build, _BLOCK))
 
     def own(batches):
         for row in _rows(batches):
@@ -206,7 +206,7 @@ def nearest_neighbours(
             kinds = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
             yield pa.record_batch([pa.array([c], t) for c, t in zip(cells, kinds)], ["block", "groups", "lo", "hi", "radius"])
 
-    ranges = stored(blocks.mapInArrow(own, "block long, groups int, lo binary, hi binary, radius binary"))
+    ranges, _ = stored(blocks.mapInArrow(own, "block long, groups int, lo binary, hi binary, radius binary"))
     # Ranges are compared in packs of blocks, so that the pairs of packs, not of blocks, are rows.
     packs = ranges.groupBy(F.pmod(F.xxhash64("block"), F.lit(max(1, parts))).alias("pack")).agg(
         F.collect_list(F.struct("block", "lo", "hi", "radius")).alias("of")
