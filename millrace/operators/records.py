@@ -71,3 +71,9 @@ def safe_name(name: Column) -> Column:
 def acceptable_upload(name: Column, length: Column) -> Column:
     """Whether an uploaded file is read: a safe name and no more than the hard limit of bytes."""
     return safe_name(name) & (length <= MAX_UPLOAD_BYTES)
+
+
+def large_upload(files: DataFrame, length_col: str = "length") -> DataFrame:
+    """One row ``(total_bytes, warn)``: the bytes of all files, and whether they are so many that work takes long."""
+    total = F.coalesce(F.sum(length_col), F.lit(0))
+    return files.agg(total.alias("total_bytes"), (total > WARN_UPLOAD_BYTES).alias("warn"))

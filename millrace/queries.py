@@ -125,6 +125,41 @@ def quality_reasons(spark, sf_dir):
     return cleaned.groupBy(F.coalesce(reason(F.col("t")), F.lit("ok")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
+TIGHT = Gates(min_chars=300, max_chars=6000, min_words=60, min_unique_ratio=0.55, min_ascii_ratio=0.97)
+
+
+@_query(
+    "quality_gates_tight",
+    f"""WITH c AS (SELECT doc_id, {_clean('text')} AS t FROM documents)
+SELECT doc_id, {_reason('t', TIGHT)} AS reason FROM c""",
+)
+def quality_gates_tight(spark, sf_dir):
+    """E1-E6 with limits at which every gate rejects some documents."""
+    cleaned = _table(spark, sf_dir, "documents").select("doc_id", text.clean_text(F.col("text")).alias("t"))
+    return cleaned.select("doc_id", reason(F.col("t"), TIGHT).alias("reason"))
+
+
+@_query(
+    "required_fields",
+    f"""WITH {_PAIRS} SELECT rec_id, rec_id % 3 <> 0 AND output IS NOT NULL AND rec_id % 5 <> 0 AS complete FROM pairs""",
+)
+def required_fields(spark, sf_dir):
+    """A third of the instructions blank, a fifth of the outputs null."""
+    rows = _pairs(spark, sf_dir).withColumns(
+        {
+            "instruction": F.when(F.col("rec_id") % 3 == 0, F.lit(" \n\t")).otherwise(F.col("instruction")),
+            "output": F.when(F.col("rec_id") % 5 != 0, F.col("output")),
+        }
+    )
+    return rows.select("rec_id", records.has_required(rows, ["instruction", "output"]).alias("complete"))
+
+
+@_query("large_upload", "SELECT sum(octet_length(encode(text)))::BIGINT AS total_bytes, sum(octet_length(encode(text))) > 10485760 AS warn FROM documents")
+def large_upload(spark, sf_dir):
+    """B9."""
+    return records.large_upload(_table(spark, sf_dir, "documents").select(F.octet_length("text").cast("long").alias("length")))
+
+
 @_query("clean_text", f"SELECT doc_id, md5({_clean('text')}) AS h, length({_clean('text')}) AS n FROM documents")
 def clean_documents(spark, sf_dir):
     """D1-D5 on documents."""

@@ -9,7 +9,7 @@ import uuid
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.plans import config, distil, export, generate
+from millrace.plans import config, distil, export, generate, report
 from millrace.plans.sanitize import Gates, Sanitizer, sanitize_lines, sanitize_records
 from millrace.operators.score import counters
 from millrace.sources import files, jsonl
@@ -187,3 +187,12 @@ def test_stream(spark, tmp_path):
     run()
     got = sorted(r.output for r in spark.read.parquet(str(tmp_path / "t")).collect())
     assert got == ["Berlin is another answer", "Paris is the one and not [PII_EMAIL]"]
+
+
+def test_score_of_a_file(spark, tmp_path):
+    assert report.score_dataset(spark, str(tmp_path / "absent")).first().grade == "DISASTER"
+    empty = report.score_dataset(spark, write(tmp_path / "e.jsonl", ["", "broken", [1]])).first()
+    assert (empty.grade, empty.record_count, empty.unique_ratio) == ("DISASTER", 0, 0.0)
+    rows = [{"instruction": f"q{i % 15}", "output": "x" * 150} for i in range(20)] + ["broken", {"messages": []}]
+    got = report.score_dataset(spark, write(tmp_path / "s.jsonl", rows)).first()
+    assert (got.grade, got.record_count) == ("NORMAL", 21) and got.unique_ratio == pytest.approx(16 / 21)
