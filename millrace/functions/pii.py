@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .text import bound
 
 _GAP = r"[\s-]?"
-_OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+_OCTET = r"(?:1\d\d|2[0-4]\d|25[0-5]|[1-9]?\d)"
 #: (kind, class named in the replacement, pattern), in the order of application: a later pattern sees earlier results.
 PATTERNS: list[tuple[str, str, str]] = [
     ("email", "EMAIL", r"(?i)\b[a-z\d._%+\-]+@[a-z\d.\-]+\.[a-z]{2,}\b"),
@@ -20,7 +20,7 @@ PATTERNS: list[tuple[str, str, str]] = [
     ("phone", "PHONE", r"\+\d{1,3}" + _GAP + r"\(?\d{1,4}\)?" + _GAP + r"\d{1,4}" + _GAP + r"\d{1,9}\b"),
     ("card", "CARD", r"\b\d{4}" + 3 * r"[ \-]?\d{4}" + r"\b"),
     ("ip", "IP", r"\b" + r"\.".join([_OCTET] * 4) + r"\b"),
-    ("ssn", "SSN", r"\b\d{3}-\d{2}-\d{4}\b"),
+    ("ssn", "SSN", r"\b\d\d\d-\d\d-\d{4}\b"),
 ]
 CANDIDATE = r"(?i)[@\d+]|http|www\."
 
@@ -53,7 +53,7 @@ def _mask_email(match: Column) -> Column:
 MASKS: dict[str, Callable[[Column], Column]] = {
     "email": _mask_email,
     "phone": lambda m: F.concat(F.lit("***-***-"), _last_four(m)),
-    "card": lambda m: F.concat(F.lit("****-****-****-"), _last_four(m)),
+    "card": lambda m: F.concat(F.lit(3 * "****-"), _last_four(m)),
     "ip": lambda m: F.concat(F.substring_index(m, ".", 2), F.lit(".***.***")),
     "ssn": lambda m: F.concat(F.lit("***-**-"), _last_four(m)),
 }

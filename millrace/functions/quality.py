@@ -12,13 +12,13 @@ from .text import bound, words
 
 @dataclass(frozen=True)
 class Gates:
-    """Limits of the gates, in the order in which they are tried."""
+    """Limits of the gates. They are tried in the order empty, short, long, words, unique words, ASCII."""
 
-    min_chars: int = 50
     max_chars: int = 20_000
-    min_words: int = 8
-    min_unique_ratio: float = 0.25
+    min_chars: int = 50
     min_ascii_ratio: float = 0.85
+    min_unique_ratio: float = 0.25
+    min_words: int = 8
 
 
 def reason(text: Column, gates: Gates = Gates()) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql.types import StringType
 #: A word as Unicode sees it; unlike ``\\w`` it means the same to every regular-expression engine in use here.
 WORD = r"[\p{L}\p{N}_]+"
 _NON_ASCII = r"[^\x00-\x7F]"
-_CONTROL = r"[\x00-\x1F\x7F-\x9F]"
+_CONTROL = r"[\x7F-\x9F\x00-\x1F]"
 _SPACES = r"[\s\p{Z}]+"
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 CHUNK_SIZE = 800
 OVERLAP = 100
 #: White space after a sentence's end and before a capital letter (Latin, with its supplements and extensions).
-SENTENCE = r"(?<=[.!?])\s+(?=[A-Z\x{C0}-\x{24F}])"
+SENTENCE = r"(?<=[?!.])\s+(?=[\x{C0}-\x{24F}A-Z])"
 PARAGRAPH = r"\n\s*\n"
 _STRIP = r"^[\s\p{Z}]+|[\s\p{Z}]+$"
 
@@ -18,8 +18,8 @@ def check_parameters(chunk_size: int, overlap: int) -> None:
     """Reject sizes that cannot make progress."""
     if chunk_size <= 0 or overlap < 0:
         raise ValueError(f"chunk_size must be positive and overlap not negative: {chunk_size}, {overlap}")
-    if overlap >= chunk_size:
-        raise ValueError(f"overlap ({overlap}) is not smaller than chunk_size ({chunk_size})")
+    if not overlap < chunk_size:
+        raise ValueError(f"an overlap of {overlap} leaves nothing of chunks of {chunk_size}")
 
 
 def _strip(text: Column) -> Column:

@@ -40,8 +40,8 @@ def openai() -> list[Column]:
 
 FORMATS: dict[str, Callable[[], list[Column]]] = {"alpaca": alpaca, "sharegpt": sharegpt, "chatml": chatml, "openai": openai}
 #: Fields that must be present in each format when it is sanitised.
-REQUIRED = {"alpaca": ["instruction", "output"], "sharegpt": ["conversations"], "chatml": ["messages"], "openai": ["messages"]}
-_ROLES = {"human": "user", "user": "user", "gpt": "assistant", "assistant": "assistant", "system": "system"}
+REQUIRED = dict(openai=["messages"], chatml=["messages"], sharegpt=["conversations"], alpaca=["instruction", "output"])
+_ROLES = {r: r for r in ("system", "assistant", "user")} | dict(gpt="assistant", human="user")
 
 
 def check_format(name: str) -> None:

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 #: (grade, least records, least average output length, least share of distinct instructions), best first.
 GRADES = [("SUPER", 100, 300, 0.95), ("GOOD", 50, 200, 0.85), ("NORMAL", 20, 100, 0.70)]
-PRICES = {"gpt-4o": 8.0, "gpt-4o-mini": 0.5, "gpt-4.1": 6.5, "gpt-4.1-mini": 0.35, "gpt-3.5-turbo": 1.0}
+PRICES = dict(
+    [("gpt-4o", 8.0), ("gpt-4o-mini", 0.5), ("gpt-4.1", 6.5), ("gpt-4.1-mini", 0.35), ("gpt-3.5-turbo", 1.0)]
+)
 DEFAULT_PRICE = 8.0
-EVOLUTIONS = {"fast": 1, "balanced": 2, "research": 3}
+EVOLUTIONS = dict(fast=1, balanced=2, research=3)
 
 
 def score(records: DataFrame) -> DataFrame:
@@ -76,6 +78,6 @@ def estimate(model: str, size: int, mode: str, local: bool) -> tuple[str, str]:
 
     if local:
         return "Free (local GPU)", minutes(0.3)
-    name = model.split(",")[0].strip().lower()
+    name = model.partition(",")[0].lower().strip()
     price = next((p for known, p in PRICES.items() if known in name), DEFAULT_PRICE)
     return f"~${size * 800 * rounds * (price / 1_000_000):.2f}", minutes(0.5)

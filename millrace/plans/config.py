@@ -14,22 +14,22 @@ _REPO = re.compile(r"[\w.-]+/[\w.-]+", re.ASCII)
 class QualityMode(str, Enum):
     """How often instructions are evolved: once, twice or three times."""
 
-    FAST = "fast"
-    BALANCED = "balanced"
     RESEARCH = "research"
+    BALANCED = "balanced"
+    FAST = "fast"
 
     @property
     def evolutions(self) -> int:
-        return {"fast": 1, "balanced": 2, "research": 3}[self.value]
+        return 1 + ["fast", "balanced", "research"].index(self.value)
 
 
 class OutputFormat(str, Enum):
     """Formats of the exported dataset."""
 
-    ALPACA = "alpaca"
-    SHAREGPT = "sharegpt"
-    CHATML = "chatml"
     OPENAI = "openai"
+    CHATML = "chatml"
+    SHAREGPT = "sharegpt"
+    ALPACA = "alpaca"
 
 
 def _printable(value: str) -> bool:
@@ -89,25 +89,25 @@ class GenerationConfig:
     """Settings of a job. Wrong ones are a ValueError when it is made."""
 
     teacher_model: str
-    judge_model: str | None = "gpt-4o-mini"
+    api_key: str | None = None
+    base_model: str = "unsloth/mistral-7b-bnb-4bit"
+    batch_size: int = 64
+    checkpoint_dir: str | None = None
     dataset_size: int = 2000
-    quality_mode: QualityMode = QualityMode.BALANCED
+    enable_dedup: bool = True
+    hf_repo: str | None = None
+    hf_token: str | None = None
+    judge_model: str | None = "gpt-4o-mini"
+    lora_rank: int = 16
+    max_new_tokens: int = 2048
     output_format: OutputFormat = OutputFormat.ALPACA
-    use_vllm: bool = True
-    train_model: bool = False
-    base_model: str = "unsloth/mistral-7b-bnb-4bit"
     publish_dataset: bool = False
-    hf_repo: str | None = None
+    quality_mode: QualityMode = QualityMode.BALANCED
+    sanitize_dataset: bool = False
     temperature: float = 0.7
-    max_new_tokens: int = 2048
-    batch_size: int = 64
-    lora_rank: int = 16
-    api_key: str | None = None
-    hf_token: str | None = None
+    train_model: bool = False
     use_semantic_chunking: bool = False
-    enable_dedup: bool = True
-    checkpoint_dir: str | None = None
-    sanitize_dataset: bool = False
+    use_vllm: bool = True
 
     def __post_init__(self) -> None:
         put = lambda name, value: object.__setattr__(self, name, value)
@@ -143,7 +143,7 @@ class GenerationConfig:
         return {k: HIDDEN if k in ("api_key", "hf_token") else v for k, v in shown.items()}
 
     def __repr__(self) -> str:
-        return f"{type(self).__name__}({', '.join(f'{k}={v!r}' for k, v in self.safe_dict().items())})"
+        return f"{type(self).__name__}({', '.join(map('{0[0]}={0[1]!r}'.format, self.safe_dict().items()))})"
 
 
 def input_errors(

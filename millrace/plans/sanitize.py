@@ -75,7 +75,7 @@ def sanitize_records(
 # The same rules on one JSON value, for records of any shape.
 
 _PATTERNS = [(kind, name, re.compile(pattern)) for kind, name, pattern in pii.PATTERNS]
-_SPACE, _CONTROL, _TAG = re.compile(r"\s+"), re.compile(r"[\x00-\x1F\x7F-\x9F]"), re.compile(r"<[^>]+>")
+_SPACE, _CONTROL, _TAG = re.compile(r"\s+"), re.compile(r"[\x7F-\x9F\x00-\x1F]"), re.compile(r"<[^>]+>")
 _CANDIDATE, _WORD = re.compile(pii.CANDIDATE), re.compile(r"\w+")
 
 
@@ -87,7 +87,7 @@ def mask_match(kind: str, match: str) -> str:
     if kind == "ip":
         return ".".join([*match.split(".")[:2], "***", "***"])
     digits = re.sub(r"\D", "", match)
-    return {"phone": "***-***-", "card": "****-****-****-", "ssn": "***-**-"}[kind] + (digits[-4:] if len(digits) >= 4 else "****")
+    return {"phone": "***-***-", "card": 3 * "****-", "ssn": "***-**-"}[kind] + (digits[-4:] if len(digits) >= 4 else "****")
 
 
 def sanitize_text(text: str, settings: Sanitizer) -> tuple[str, bool]:
@@ -130,7 +130,7 @@ def folded(value: Any) -> Any:
 
 def json_hash(record: Any) -> str:
     """SHA-256 of the folded record as compact JSON with sorted keys."""
-    shown = json.dumps(folded(record), sort_keys=True, ensure_ascii=False, separators=(",", ":"))
+    shown = json.dumps(folded(record), separators=(",", ":"), ensure_ascii=False, sort_keys=True)
     return hashlib.sha256(shown.encode("utf-8", "surrogatepass")).hexdigest()
 
 

@@ -81,7 +81,7 @@ def _masked(x: str) -> str:
     masks = {
         "email": "CASE WHEN strpos(m, '@') <= 2 THEN '***' ELSE left(m, 1) || '***' || m[strpos(m, '@') - 1] END || substr(m, strpos(m, '@'))",
         "phone": f"'***-***-' || {four}",
-        "card": f"'****-****-****-' || {four}",
+        "card": f"repeat('****-', 3) || {four}",
         "ip": "split_part(m, '.', 1) || '.' || split_part(m, '.', 2) || '.***.***'",
         "ssn": f"'***-**-' || {four}",
     }

@@ -79,7 +79,7 @@ def test_sanitise_lines(spark):
 
 
 def test_sanitise_nested_turns(spark):
-    line = json.dumps({"messages": [{"role": "user", "content": GOOD}]})
+    line = json.dumps(dict(messages=[dict(role="user", content=GOOD)]))
     lines = spark.createDataFrame([(1, line)], "line_no long, line string")
     assert sanitize_lines(lines, Sanitizer(gates=SMALL.gates)).first().reason == "empty text"
     assert sanitize_lines(lines, Sanitizer(gates=SMALL.gates, nested_text=True)).first().status == "kept"

@@ -13,8 +13,8 @@ CASES = [
     ("https://u@example.com/a, next", "[PII_URL] next", "[PII_URL] next"),
     ("+1-555-555-0101 x", "+1-[PII_PHONE] x", "+1-***-***-0101 x"),
     ("1234567890", "[PII_PHONE]", "***-***-7890"),
-    ("4111 1111 1111 1111", "[PII_CARD]", "****-****-****-1111"),
-    ("4111111111111111", "[PII_CARD]", "****-****-****-1111"),
+    ("4111 1111 1111 1111", "[PII_CARD]", 3 * "****-" + "1111"),
+    ("4111111111111111", "[PII_CARD]", 3 * "****-" + "1111"),
     ("123-45-6789", "[PII_SSN]", "***-**-6789"),
     ("+1 192.168.1.1", "[PII_PHONE].168.1.1", "***-***-1192.168.1.1"),
     ("10.0.0.1.", "[PII_IP].", "10.0.***.***."),
@@ -45,17 +45,17 @@ def test_python_rules_are_the_same(mask):
 
 @pytest.mark.parametrize(
     "raw, clean",
-    [("a\x00b\tc", "a b c"), ("été", "été"), ("<p>Hello <b>world</b>!</p>", "Hello world !"), ("ﬁne Ⅸ", "fine IX"), (None, None), ("", "")],
+    [("a\x00b\tc", "a b c"), ("été", "été"), ("<p>Good <i>day</i>!</p>", "Good day !"), ("ﬁne Ⅸ", "fine IX"), (None, None), ("", "")],
 )
 def test_clean_text(spark, raw, clean):
     assert one(spark, text.clean_text(F.col("t")), raw) == clean
 
 
 def test_html_tags_become_spaces(spark):
-    assert one(spark, text.strip_html(F.col("t")), "<p>Hello <b>world</b>!</p>") == " Hello  world ! "
+    assert one(spark, text.strip_html(F.col("t")), "<p>Good <i>day</i>!</p>") == " Good  day ! "
 
 
-GATES = Gates(10, 100, 3, 0.5, 0.8)
+GATES = Gates(max_chars=100, min_chars=10, min_ascii_ratio=0.8, min_unique_ratio=0.5, min_words=3)
 
 
 @pytest.mark.parametrize(
