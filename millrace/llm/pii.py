@@ -26,11 +26,11 @@ BROADCAST_TERMS = 5_000_000
 
 ENTITY = re.compile(
     r"(?P<EMAIL>(?<![\w.%+-])[\w.%+-]+@[\w-]+(?:\.[\w-]+)+)"
-    r"|(?P<IP>(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d))"
+    r"|(?P<IP>(?<![\d.])(?:(?:2[0-4]\d|25[0-5]|1?\d?\d)\.){3}(?:2[0-4]\d|25[0-5]|1?\d?\d)(?!\.?\d))"
     r"|(?P<IBAN>\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b)"
     r"|(?P<CARD>(?<![\w-])\d(?:[ -]?\d){12,18}(?![\w-]))"
-    r"|(?P<SSN>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))"
-    r"|(?P<PHONE>\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\w)"
+    r"|(?P<SSN>(?<![\w-])\d\d\d-\d\d-\d{4}(?![\w-]))"
+    r"|(?P<PHONE>\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}(?!\w)"
     r"|(?<![\w.])\(?\d{3}\)?[ .-]\d{3}[ .-]\d{4}(?!\w))"
 )
 _WORD = re.compile(r"(?:[A-Za-z]|[^\x00-\x7f])+")  # as the runs of letters that textbytes finds
