@@ -24,6 +24,8 @@ COVERAGE = 0.5
 _BITS = 16
 _SLOTS = 1 << _BITS
 _LEXICON_LEAST = 4
+#: Text that is taken at a time in Python: a worker then holds about 60 MB of features and messages.
+_BYTES = 1 << 19
 
 
 @dataclass
@@ -334,7 +336,7 @@ def identify(
 
     def label(batches):
         crf = shared.value
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", _BYTES):
             n = batch.num_rows
             got = judge(crf, batch.column(1), confidence, coverage)
             x, words, p = got.x, got.words, got.p
@@ -392,13 +394,11 @@ def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     model = train(labelled_sample(docs, id_col, text_col, lang_col))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("boolean")
-    def accepted(texts):
-        import pandas as pd
-
-        batch = pa.record_batch([pa.array(texts, pa.string(), from_pandas=True)], ["text"])
-        out = [judge(shared.value, part.column(0), CONFIDENCE, COVERAGE).keep for part in slices([batch], "text")]
-        return pd.Series(np.concatenate(out) if out else np.zeros(0, bool))
+    @F.arrow_udf("boolean")
+    def accepted(texts: pa.Array) -> pa.Array:
+        batch = pa.record_batch([texts], ["text"])
+        out = [judge(shared.value, part.column(0), CONFIDENCE, COVERAGE).keep for part in slices([batch], "text", _BYTES)]
+        return pa.array(np.concatenate(out) if out else np.zeros(0, bool))
 
     return docs.filter(accepted(F.col(text_col)))
 
