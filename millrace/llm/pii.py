@@ -16,7 +16,8 @@ from .textbytes import as_bytes, hash_of, letters, member, runs, slices, span_ha
 
 #: Words on each side of an identifier that count as occurring with it.
 WINDOW = 8
-#: Distinct surroundings in which a term must occur with an identifier; copies of one text are one surrounding.
+#: Distinct surroundings from which a joint count is taken in full; fewer are weaker evidence (``revealing_terms``).
+#: Copies of one text are one surrounding.
 SUPPORT = 3
 #: Share of an identifier's information that a term may give away before it is generalised, and before it is removed.
 GENERALISE = 0.75
@@ -78,45 +79,81 @@ def mentions(docs: DataFrame) -> DataFrame:
     return docs.select("text").filter("text IS NOT NULL").mapInArrow(find, "entity long, term long, around long")
 
 
+def _distinct_terms(texts: pa.Array, known: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """(text numbers, hashes) of the words of some texts, each once a text; only ``known`` ones if given."""
+    raw, at = as_bytes(pc.utf8_lower(texts))
+    starts, ends, doc = runs(letters()[raw], at)
+    h = _signed(span_hashes(raw, starts, ends))
+    if known is not None:
+        hit = member(h, known) >= 0
+        h, doc = h[hit], doc[hit]
+    order = np.lexsort((h, doc))
+    h, doc = h[order], doc[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+    return doc[new], h[new]
+
+
+def _broadcast_terms(docs: DataFrame, terms: DataFrame, small: bool):
+    """The sorted hashes of the terms on every executor, or null if there are too many."""
+    known = np.sort(terms.select("term").toArrow().column(0).to_numpy()) if small else None
+    return docs.sparkSession.sparkContext.broadcast(known)
+
+
 def occurrences(docs: DataFrame, terms: DataFrame, n_terms: int) -> DataFrame:
     """``(key, term)``: the given terms that each document has, ``key`` being the MD5 of its text.
 
     Up to ``BROADCAST_TERMS`` terms are broadcast as hashes; beyond, all words of all documents are joined with them.
     """
     small = n_terms <= BROADCAST_TERMS
-    known = None
-    if small:
-        known = np.sort(np.array([r.term for r in terms.collect()], np.int64))
-    shared = docs.sparkSession.sparkContext.broadcast(known)
+    shared = _broadcast_terms(docs, terms, small)
 
     def find(batches):
-        own = shared.value
         for batch in slices(batches, "text"):
-            raw, at = as_bytes(pc.utf8_lower(batch.column(1)))
-            starts, ends, doc = runs(letters()[raw], at)
-            h = _signed(span_hashes(raw, starts, ends))
-            if own is not None:
-                hit = member(h, own) >= 0
-                h, doc = h[hit], doc[hit]
-            if not len(h):
-                continue
-            order = np.lexsort((h, doc))
-            h, doc = h[order], doc[order]
-            new = np.ones(len(h), bool)
-            new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-            yield pa.record_batch([batch.column(0).take(pa.array(doc[new])), pa.array(h[new])], ["key", "term"])
+            doc, h = _distinct_terms(batch.column(1), shared.value)
+            if len(h):
+                yield pa.record_batch([batch.column(0).take(pa.array(doc)), pa.array(h)], ["key", "term"])
 
     found = docs.filter("text IS NOT NULL").select(F.unhex(F.md5("text")).alias("key"), "text")
     found = found.mapInArrow(find, "key binary, term long")
     return found if small else found.join(terms.hint("shuffle_hash"), "term", "left_semi").select("key", "term")
 
 
+def document_counts(docs: DataFrame, terms: DataFrame, n_terms: int) -> DataFrame:
+    """``(term, with_term)``: in how many documents each given term is; broadcast or joined as in ``occurrences``.
+
+    Near identifiers are common words too, so counts and not single occurrences leave Python.
+    """
+    small = n_terms <= BROADCAST_TERMS
+    shared = _broadcast_terms(docs, terms, small)
+
+    def count(batches):
+        own = shared.value
+        total = np.zeros(0 if own is None else len(own), np.int64)
+        for batch in slices(batches, "text"):
+            h = _distinct_terms(batch.column(0), own)[1]
+            if own is not None:
+                total += np.bincount(np.searchsorted(own, h), minlength=len(own))
+            elif len(h):
+                words, n = np.unique(h, return_counts=True)
+                yield pa.record_batch([pa.array(words), pa.array(n.astype(np.int64))], ["term", "n"])
+        some = np.flatnonzero(total)
+        if len(some):
+            yield pa.record_batch([pa.array(own[some]), pa.array(total[some])], ["term", "n"])
+
+    counted = docs.select("text").filter("text IS NOT NULL").mapInArrow(count, "term long, n long")
+    counted = counted.groupBy("term").agg(F.sum("n").alias("with_term"))
+    return counted if small else counted.join(terms.hint("shuffle_hash"), "term", "left_semi")
+
+
 def revealing_terms(docs: DataFrame, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """``(term, remove)``: hashes of the terms that disclose too much about some identifier.
 
     With document counts over the whole corpus, the information that term ``t`` gives about identifier ``e`` is
     ``PMI(e; t) = log(p(e, t) / (p(e) p(t)))``, and all there is to know is ``IC(e) = -log p(e)``. A term discloses the
-    share ``PMI / IC``, greatest over the identifiers near which it occurs in ``SUPPORT`` distinct surroundings.
+    share ``PMI / IC``, greatest over all identifiers near which it occurs. A pair seen in s distinct surroundings, fewer
+    than ``SUPPORT``, counts s/SUPPORT of its joint count, as if the surroundings missing had been seen without it: a term
+    of a single text discloses ``1 - log(SUPPORT) / IC`` at most, which is evidence in a large corpus only.
     """
     near = cut(mentions(docs))
     alone = near.filter("term IS NULL").groupBy("entity").agg(F.count(F.lit(1)).alias("with_entity"))
@@ -124,13 +161,13 @@ def revealing_terms(docs: DataFrame, generalise: float = GENERALISE, remove: flo
         near.filter("term IS NOT NULL")
         .groupBy("entity", "term")
         .agg(F.count(F.lit(1)).alias("both"), F.count_distinct("around").alias("support"))
-        .filter(F.col("support") >= SUPPORT)
     )
     joint = cut(joint.join(alone, "entity"))
     candidates = joint.select("term").distinct()
-    with_term = occurrences(docs, candidates, candidates.count()).groupBy("term").agg(F.count(F.lit(1)).alias("with_term"))
+    with_term = document_counts(docs, candidates, candidates.count())
     n = docs.filter("text IS NOT NULL").count()
-    share = 1 + F.log(F.col("both") / F.col("with_term")) / F.greatest(
+    evidence = F.least(F.lit(1.0), F.col("support") / SUPPORT)
+    share = 1 + F.log(F.col("both") * evidence / F.col("with_term")) / F.greatest(
         F.lit(math.log(max(n, 2))) - F.log(F.col("with_entity")), F.lit(1e-9)
     )
     worst = joint.join(with_term, "term").groupBy("term").agg(F.max(share).alias("share"))

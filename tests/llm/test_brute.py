@@ -145,6 +145,23 @@ def test_revealing_terms(spark, monkeypatch, limit):
         assert r.text == want
 
 
+@pytest.mark.parametrize("limit", [pii.BROADCAST_TERMS, -1])
+def test_terms_of_identifiers_in_one_or_two_texts(spark, monkeypatch, limit):
+    rng = random.Random(7)
+    common = [f"{a}{b}" for a in "abcdefgh" for b in ("lor", "tis", "mun", "sek")]
+    texts = [" ".join(rng.choice(common) for _ in range(14)) for _ in range(300)]
+    texts[10] = f"{texts[10]} quibbleton once@corp.example"
+    for i in (20, 30):
+        texts[i] = f"{texts[i]} frobnitz twice@corp.example"
+    texts[40] += " lonelyword"
+    monkeypatch.setattr(pii, "BROADCAST_TERMS", limit)
+    got = {r.doc_id: r for r in pii.sanitise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got[10].text.endswith(" [TERM] [EMAIL]") and got[10].n_generalised == 1  # 1 - log(3) / log(300) = 0.81
+    assert all(got[i].text.endswith("  [EMAIL]") and got[i].n_removed == 1 for i in (20, 30))  # 1 - log(3/2) / log(150) = 0.92
+    rest = set(got) - {10, 20, 30}
+    assert all(got[i].text == texts[i] for i in rest)
+
+
 def test_identifiers():
     hidden = "a.b@c.example 83.229.25.121 +1 (974) 555-3436 4952935900253052 123-45-6789 (555) 123-4567 DE89 3704 0044 0532 0130 00"
     assert pii.ENTITY.sub(lambda m: m.lastgroup, hidden) == "EMAIL IP PHONE CARD SSN PHONE IBAN"
