@@ -207,8 +207,8 @@ class Read:
 def restore(channel: Channel, texts: pa.Array) -> Read:
     """The words of the texts and the readings of their ambiguous tokens.
 
-    Tokens without an ambiguous sign have a lattice of one path and are not decoded. Decoded are tokens in which a sign
-    of ``LEET`` stands before a letter, letters repeated three times, words that are a toxic word once their doubled
+    Tokens without an ambiguous sign have a lattice of one path and are not decoded. Decoded are tokens of letters and
+    signs of ``LEET`` wherever the signs stand (the lattice may keep them as written), letters repeated three times, words that are a toxic word once their doubled
     letters are single, and runs of three or more single letters with one sign between each; words that make a toxic
     word when joined across one sign that is not white space are joined.
     """
@@ -237,11 +237,12 @@ def restore(channel: Channel, texts: pa.Array) -> Read:
     same[1:] = (raw[1:] == raw[:-1]) & letter[1:] & (raw[1:] < 128)
     same[at[:-1][at[:-1] < n]] = False
     flag = np.zeros(n, bool)
-    flag[:-1] = sign[:-1] & letter[1:]
-    flag[1:] |= same[1:] & same[:-1]
+    flag[1:] = same[1:] & same[:-1]
     s2, e2, d2 = runs(letter | sign, at)
     flags = np.concatenate([[0], np.cumsum(flag)])
-    odd = flags[e2] > flags[s2]
+    signs = np.concatenate([[0], np.cumsum(sign)])
+    n_signs = signs[e2] - signs[s2]
+    odd = (flags[e2] > flags[s2]) | ((n_signs > 0) & (n_signs < e2 - s2))
     for s, e, d in zip(s2[odd].tolist(), e2[odd].tolist(), d2[odd].tolist()):
         read(d, cut(s, e))
 

@@ -274,6 +274,35 @@ def test_toxicity_of_held_out_and_hidden_words(spark, labelled):
     assert toxicity.score(model, pa.array([clean]))[0][0] < model.threshold
 
 
+@pytest.fixture(scope="module")
+def hiding(spark, labelled):
+    counts = toxicity.character_counts(spark.createDataFrame(labelled[["text"]]))
+    return toxicity.fit(list(zip(labelled.text, labelled.toxic)), counts)
+
+
+def restored(model, texts):
+    """What is read in each text."""
+    got = toxicity.restore(model, pa.array(texts))
+    out = [set() for _ in texts]
+    for d, _, read in got.found:
+        out[d].update(read.split())
+    return out
+
+
+def test_signs_at_the_end_of_words(hiding):
+    swap = {"i": "1", "o": "0", "e": "3", "a": "4", "s": "5", "t": "7", "l": "1", "g": "9", "b": "8"}
+    words = [w for w in hiding.lexicon if len(w) > 4 and w[-1] in swap]
+    assert "idiot" in words
+    texts = [f"the and of {w[:-1]}{swap[w[-1]]} the erand" for w in words]
+    assert np.mean([w in r for w, r in zip(words, restored(hiding, texts))]) > 0.8
+    texts = ["the and of idio7 the erand", "the and of idiot the erand", "the and of the erand", "the and of! the erand$$$"]
+    p = toxicity.score(hiding, pa.array(texts))[0]
+    assert p[0] >= p[1] - 0.05 and p[0] > p[2] == p[3]
+    lm = toxicity.language_model(np.zeros((64, 64, 64)), {"kill": 1.0, "ass": 1.0})
+    own = toxicity.Channel(lm, lexicon=["kill", "ass"])
+    assert restored(own, ["ki11", "a55", "a$$"]) == [{"kill"}, {"ass"}, {"ass"}]
+
+
 # 5
 
 
