@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import table
-from .textbytes import Spans, as_bytes, hash_of, letters, member, mix64, powers, runs, slices, span_codes, span_hashes
+from .textbytes import Spans, as_bytes, hash_of, letters, member, mix64, runs, slices, span_codes, span_hashes
 
 #: Bound of the labelled sample from which word weights are learned, for each class.
 DOCS_PER_CLASS = 3000
@@ -91,8 +91,9 @@ def language_model(counts: np.ndarray, lexicon: dict[str, float] | None = None)
 def decode(token: str, lm: np.ndarray, spaced: bool = False) -> str:
     """The most probable original of a token (Viterbi over its lattice of readings).
 
-    A sign of ``LEET`` reads as one of its letters or as itself; a run of equal signs as so many, or as one or two; letters that stood apart (``spaced``) may have had a word's end between them. Each reading has a channel cost
-    and the character model scores what was read.
+    A sign of ``LEET`` reads as one of its letters or as itself; a run of equal signs as so many, or as one or two;
+    letters that stood apart (``spaced``) may have had a word's end between them, and signs that are no digits may have
+    been put between them. Each reading has a channel cost and the character model scores what was read.
     """
     runs_of: list[tuple[str, int]] = []
     for c in token:
@@ -113,6 +114,8 @@ def decode(token: str, lm: np.ndarray, spaced: bool = False) -> str:
                 pieces.append((x * 2, 2 * cost - 0.7))
         if spaced and at:
             pieces += [(" " + piece, cost - 1.0) for piece, cost in pieces]
+            if c in LEET and not c.isdigit():
+                pieces.append(("", -2.0))
         reached: dict[tuple[int, int], tuple[float, tuple]] = {}
         for (a0, b0), (before, chain) in best.items():
             for piece, cost in pieces:
@@ -209,8 +212,10 @@ def restore(channel: Channel, texts: pa.Array) -> Read:
 
     Tokens without an ambiguous sign have a lattice of one path and are not decoded. Decoded are tokens of letters and
     signs of ``LEET`` wherever the signs stand (the lattice may keep them as written), letters repeated three times, words that are a toxic word once their doubled
-    letters are single, and runs of three or more single letters with one sign between each; words that make a toxic
-    word when joined across one sign that is not white space are joined.
+    letters are single, three or more single characters with anything but letters and digits between them, and what
+    white space bounds when it has such a token among parts. Any number of parts of any length that make a toxic word
+    are joined across gaps of any length; a gap of white space alone counts beside a part of one letter only, or any
+    two words of the text might meet. Letters are counted as characters, whatever their bytes.
     """
     raw, at = as_bytes(pc.utf8_lower(pc.fill_null(texts, "")))
     n = len(raw)
@@ -233,11 +238,22 @@ def restore(channel: Channel, texts: pa.Array) -> Read:
     leet = np.zeros(256, bool)
     leet[[ord(c) for c in LEET]] = True
     sign = leet[raw]
-    same = np.zeros(n, bool)
-    same[1:] = (raw[1:] == raw[:-1]) & letter[1:] & (raw[1:] < 128)
-    same[at[:-1][at[:-1] < n]] = False
+    # Characters: their first bytes, and the bytes of each as one number.
+    head = (raw & 0xC0) != 0x80
+    head[at[:-1][at[:-1] < n]] = True
+    place = np.flatnonzero(head)
+    width = np.diff(np.append(place, n))
+    char = raw[place].astype(np.int64)
+    for j in (1, 2, 3):
+        more = np.flatnonzero(width > j)
+        char[more] |= raw[place[more] + j].astype(np.int64) << 8 * j
+    again = np.zeros(len(place), bool)
+    again[1:] = (char[1:] == char[:-1]) & letter[place[1:]]
+    again[np.searchsorted(place, at[:-1][at[:-1] < n])] = False
+    same = np.repeat(again, width)
     flag = np.zeros(n, bool)
-    flag[1:] = same[1:] & same[:-1]
+    flag[place[1:]] = again[1:] & again[:-1]
+    chars = np.concatenate([[0], np.cumsum(head)])
     s2, e2, d2 = runs(letter | sign, at)
     flags = np.concatenate([[0], np.cumsum(flag)])
     signs = np.concatenate([[0], np.cumsum(sign)])
@@ -255,30 +271,51 @@ def restore(channel: Channel, texts: pa.Array) -> Read:
         for i in close[member(mix64(codes(starts[close], ends[close])), channel.words) < 0].tolist():
             read(doc[i], cut(starts[i], ends[i]))
 
-    one = e2 - s2 == 1
+    # What white space bounds, without the marks between its parts, if one of these is to be decoded.
+    s3, e3, d3 = runs(raw > 32, at)
+    odd_before = np.concatenate([[0], np.cumsum(odd)])
+    first, last = np.searchsorted(s2, s3), np.searchsorted(s2, e3)
+    parted = (last - first > 1) & (odd_before[last] > odd_before[first])
+    for s, e, d in zip(s3[parted].tolist(), e3[parted].tolist(), d3[parted].tolist()):
+        read(d, raw[s:e][(letter | sign)[s:e]].tobytes().decode(errors="replace"))
+    # Letters with the same sign put between each two.
+    for s, e, d in zip(s2[odd].tolist(), e2[odd].tolist(), d2[odd].tolist()):
+        if chars[e] - chars[s] >= 5 and sign[s:e].sum() > 1:
+            token = cut(s, e)
+            if token[1] in LEET and len(set(token[1::2])) == 1:
+                read(d, token[::2])
+
+    one = chars[e2] - chars[s2] == 1
     if one.any():
         joined = np.zeros(len(one), bool)
-        joined[1:] = one[1:] & one[:-1] & (s2[1:] - e2[:-1] == 1) & (d2[1:] == d2[:-1])
+        joined[1:] = one[1:] & one[:-1] & (d2[1:] == d2[:-1])
         heads, chain = np.flatnonzero(one & ~joined), np.flatnonzero(one)
         size = np.diff(np.append(np.searchsorted(chain, heads), len(chain)))
         for h, k in zip(heads[size >= 3].tolist(), size[size >= 3].tolist()):
-            letters_of = raw[s2[h : h + k]]
             if letter[s2[h : h + k]].sum() * 2 > k:
-                read(d2[h], letters_of.tobytes().decode(errors="replace"), True)
+                s, e = s2[h], e2[h + k - 1]
+                read(d2[h], raw[s:e][(letter | sign)[s:e]].tobytes().decode(errors="replace"), True)
 
     if len(channel.words) and len(starts) > 1:
-        size = ends - starts
-        code = codes(starts, ends)
-        power = powers(int(size.max()) + 1)
-        gap = (starts[1:] - ends[:-1] == 1) & (doc[1:] == doc[:-1]) & (raw[np.minimum(ends[:-1], n - 1)] > 32)
-        two = np.flatnonzero(gap)
-        pair = code[two] + power[size[two]] * code[two + 1]
-        three = two[:-1][np.diff(two) == 1]
-        triple = code[three] + power[size[three]] * (code[three + 1] + power[size[three + 1]] * code[three + 2])
-        for first, joint, parts in ((two, pair, 2), (three, triple, 3)):
-            for i in first[member(mix64(joint), channel.words) >= 0].tolist():
-                whole = "".join(cut(starts[i + j], ends[i + j]) for j in range(parts))
-                found.append((int(doc[i]), cut(starts[i], ends[i + parts - 1]), whole))
+        longest = max(len(w.encode()) for w in channel.lexicon)
+        only = Spans(raw[letter])
+        upto = np.concatenate([[0], np.cumsum(letter)])
+        blanks = np.concatenate([[0], np.cumsum(raw <= 32)])
+        single = chars[ends] - chars[starts] == 1
+        marked = blanks[starts[1:]] - blanks[ends[:-1]] < starts[1:] - ends[:-1]
+        gap = (doc[1:] == doc[:-1]) & (marked | single[1:] | single[:-1])
+        first, parts = np.flatnonzero(gap), 2
+        while len(first):
+            last = first + parts - 1
+            first = first[upto[ends[last]] - upto[starts[first]] <= longest]
+            code = only(upto[starts[first]], upto[ends[first + parts - 1]])
+            for i in first[member(mix64(code), channel.words) >= 0].tolist():
+                seen = cut(starts[i], ends[i + parts - 1])
+                whole = raw[starts[i] : ends[i + parts - 1]]
+                found.append((int(doc[i]), seen, whole[letter[starts[i] : ends[i + parts - 1]]].tobytes().decode(errors="replace")))
+            first = first[first + parts < len(starts)]
+            first = first[gap[first + parts - 1]]
+            parts += 1
     return Read(doc, features, found)
 
 

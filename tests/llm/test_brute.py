@@ -303,6 +303,20 @@ def test_signs_at_the_end_of_words(hiding):
     assert restored(own, ["ki11", "a55", "a$$"]) == [{"kill"}, {"ass"}, {"ass"}]
 
 
+def test_accented_separated_and_unevenly_split_words(hiding):
+    words = ["imbécile", "blöd", "stupid", "idiot"]
+    lm = toxicity.language_model(np.zeros((64, 64, 64)), dict.fromkeys(words, 1.0))
+    own = toxicity.Channel(lm, lexicon=words)
+    for gap in (" ", "  ", "-", " - ", "...", "*", " * ", "\n"):
+        assert all(w in r for w, r in zip(words, restored(own, [gap.join(w) for w in words]))), gap
+    hidden = {"s-t-u-pid": "stupid", "st.up.i.d": "stupid", "st--upid": "stupid", "s-t-u-p1d": "stupid", "i*d*1*o*t": "idiot"}
+    hidden |= {"blöööd": "blöd", "imb-é-cile": "imbécile", "s t u pid": "stupid", "i d 1 o t": "idiot"}
+    assert all(w in r for w, r in zip(hidden.values(), restored(own, list(hidden)))), restored(own, list(hidden))
+    assert not any(set(words) & r for r in restored(own, ["stu pid", "the and of", "idi ot"]))
+    apart = toxicity.restore(own, pa.array(["i d i", "o t", "blö", "öd"]))
+    assert not any(set(words) & set(read.split()) for _, _, read in apart.found)
+
+
 # 5
 
 
