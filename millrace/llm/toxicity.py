@@ -43,6 +43,7 @@ def _symbol_table() -> np.ndarray:
 
 
 _LUT = _symbol_table()
+_CODE = _LUT.tolist()
 
 
 def character_counts(docs: DataFrame, text_col: str = "text") -> np.ndarray:
@@ -88,13 +89,15 @@ def language_model(counts: np.ndarray, lexicon: dict[str, float] | None = None)
     return np.log(p)
 
 
-def decode(token: str, lm: np.ndarray, spaced: bool = False) -> str:
+def decode(token: str, lm: np.ndarray | list[float], spaced: bool = False) -> str:
     """The most probable original of a token (Viterbi over its lattice of readings).
 
     A sign of ``LEET`` reads as one of its letters or as itself; a run of equal signs as so many, or as one or two;
     letters that stood apart (``spaced``) may have had a word's end between them, and signs that are no digits may have
-    been put between them. Each reading has a channel cost and the character model scores what was read.
+    been put between them. Each reading has a channel cost and the character model scores what was read. ``lm`` may be
+    given as a flat list, which Python reads faster.
     """
+    flat = lm if isinstance(lm, list) else lm.ravel().tolist()
     runs_of: list[tuple[str, int]] = []
     for c in token:
         if runs_of and runs_of[-1][0] == c:
@@ -116,19 +119,19 @@ def decode(token: str, lm: np.ndarray, spaced: bool = False) -> str:
             pieces += [(" " + piece, cost - 1.0) for piece, cost in pieces]
             if c in LEET and not c.isdigit():
                 pieces.append(("", -2.0))
+        coded = [(piece, cost, [_CODE[byte] for byte in piece.encode()]) for piece, cost in pieces]
         reached: dict[tuple[int, int], tuple[float, tuple]] = {}
         for (a0, b0), (before, chain) in best.items():
-            for piece, cost in pieces:
+            for piece, cost, symbols in coded:
                 score, a, b = before + cost, a0, b0
-                for byte in piece.encode():
-                    s = int(_LUT[byte])
-                    score += lm[a, b, s]
+                for s in symbols:
+                    score += flat[(a * _SYMBOLS + b) * _SYMBOLS + s]
                     a, b = b, s
                 have = reached.get((a, b))
                 if have is None or score > have[0]:
                     reached[a, b] = (score, (chain, piece))
         best = reached
-    chain = max(((score + lm[a, b, 0], chain) for (a, b), (score, chain) in best.items()), key=lambda x: x[0])[1]
+    chain = max(((score + flat[(a * _SYMBOLS + b) * _SYMBOLS], chain) for (a, b), (score, chain) in best.items()), key=lambda x: x[0])[1]
     out = []
     while chain:
         chain, piece = chain
@@ -180,6 +183,7 @@ class Channel:
         self.near = np.zeros(1 << 16, bool)
         self.near[(self.hashes >> np.uint64(48)).astype(np.int64)] = True
         self.cache: dict[tuple[str, bool], str] = {}
+        self.flat: list[float] = []
 
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places in ``hashes`` of known features, and which features they are."""
@@ -188,13 +192,14 @@ class Channel:
         return maybe[which >= 0], which[which >= 0]
 
     def read(self, token: str, spaced: bool = False) -> str:
+        self.flat = self.flat or self.lm.ravel().tolist()
         if len(token) > 64:
-            return decode(token, self.lm, spaced)
+            return decode(token, self.flat, spaced)
         got = self.cache.get((token, spaced))
         if got is None:
             if len(self.cache) > 100_000:
                 self.cache.clear()
-            got = self.cache[token, spaced] = decode(token, self.lm, spaced)
+            got = self.cache[token, spaced] = decode(token, self.flat, spaced)
         return got
 
 
