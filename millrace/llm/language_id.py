@@ -13,8 +13,7 @@ from pyspark.sql import functions as F
 from .common import table
 from .textbytes import as_bytes, letters, runs, slices, span_hashes
 
-#: Bound of the labelled sample: languages, documents of each, and characters of the span taken at a place in each.
-LANGUAGES = 16
+#: Bound of the labelled sample: documents of each language, and characters of the span taken at a place in each.
 DOCS_PER_LANGUAGE = 300
 SPAN_CHARS = 3000
 #: Least mean probability of the words' labels, and least share of letter trigrams known from the sample, to accept.
@@ -24,7 +23,8 @@ COVERAGE = 0.5
 _BITS = 16
 _SLOTS = 1 << _BITS
 _LEXICON_LEAST = 4
-#: Text that is taken at a time in Python: a worker then holds about 60 MB of features and messages.
+#: Text that is taken at a time in Python, with up to 16 languages: a worker then holds about 60 MB of features and
+#: messages. With more, messages are wider and less text is taken.
 _BYTES = 1 << 19
 
 
@@ -190,7 +190,7 @@ def train(sample: list[tuple[str, str]], epochs: int = 6, seed: int = 7, length:
     count = np.diff(np.append(first, len(x.doc)))
     of_label = [np.flatnonzero((gold_of_doc == j) & (count > 0)) for j in range(k)]
     present = [j for j in range(k) if len(of_label[j])]
-    sequences = max(batch, min(4000, len(x.doc) // length))
+    sequences = max(batch, min(max(4000, 1000 * k), len(x.doc) // length))
     lex_at = np.minimum(np.searchsorted(lexicon, x.hashes), max(0, len(lexicon) - 1)) if len(lexicon) else None
     in_lex = lexicon[lex_at] == x.hashes if len(lexicon) else np.zeros(len(x.doc), bool)
     rate, total = 0.35, {}
@@ -261,15 +261,14 @@ def train(sample: list[tuple[str, str]], epochs: int = 6, seed: int = 7, length:
 def labelled_sample(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang"
 ) -> list[tuple[str, str]]:
-    """(language, span of text) of at most ``DOCS_PER_LANGUAGE`` documents of each of the ``LANGUAGES`` most frequent.
+    """(language, span of text) of at most ``DOCS_PER_LANGUAGE`` documents of every language.
 
     Documents are drawn by a hash of their id, and so is the place of the span of ``SPAN_CHARS`` characters.
     """
     named = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
     named = named.filter("lang IS NOT NULL AND lang <> '' AND id IS NOT NULL")
-    top = named.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).select("lang")
     draw = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    drawn = named.select("id", "lang").join(F.broadcast(top), "lang").withColumn("n", F.row_number().over(draw))
+    drawn = named.select("id", "lang").withColumn("n", F.row_number().over(draw))
     drawn = drawn.filter(F.col("n") <= DOCS_PER_LANGUAGE).select("id", "lang").distinct()
     from_place = F.pmod(F.xxhash64("id", F.lit(1)), F.greatest(F.lit(1), F.length("text") - SPAN_CHARS + 1)) + 1
     spans = (
@@ -293,6 +292,11 @@ class Judged:
     keep: np.ndarray
 
 
+def _portion(model: Crf | None) -> int:
+    """Bytes of text to take at a time."""
+    return _BYTES if model is None else _BYTES * 16 // max(16, len(model.labels))
+
+
 def judge(model: Crf | None, texts: pa.Array, confidence: float, coverage: float) -> Judged:
     """The field applied to whole texts; without a model, texts with a word are kept."""
     n = len(texts)
@@ -336,7 +340,7 @@ def identify(
 
     def label(batches):
         crf = shared.value
-        for batch in slices(batches, "text", _BYTES):
+        for batch in slices(batches, "text", _portion(crf)):
             n = batch.num_rows
             got = judge(crf, batch.column(1), confidence, coverage)
             x, words, p = got.x, got.words, got.p
@@ -396,8 +400,9 @@ def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     @F.arrow_udf("boolean")
     def accepted(texts: pa.Array) -> pa.Array:
-        batch = pa.record_batch([texts], ["text"])
-        out = [judge(shared.value, part.column(0), CONFIDENCE, COVERAGE).keep for part in slices([batch], "text", _BYTES)]
+        crf = shared.value
+        parts = slices([pa.record_batch([texts], ["text"])], "text", _portion(crf))
+        out = [judge(crf, part.column(0), CONFIDENCE, COVERAGE).keep for part in parts]
         return pa.array(np.concatenate(out) if out else np.zeros(0, bool))
 
     return docs.filter(accepted(F.col(text_col)))

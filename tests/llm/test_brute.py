@@ -94,6 +94,22 @@ def test_languages_of_held_out_and_switched_text(docs):
     assert not language_id.judge(model, pa.array(["русский текст без знакомых букв", "12 34"]), 0.5, 0.5).keep.any()
 
 
+def test_every_language_is_learned(spark):
+    rng = random.Random(11)
+    scripts = [0x61, 0x3B1, 0x430, 0x561, 0x5D0, 0x628, 0x905, 0x995, 0xA05, 0xA85, 0xB05, 0xB85, 0xC05, 0xC85, 0xD05, 0xE01, 0x10D0, 0x1200, 0x3041, 0x30A1]
+    rows = []
+    for j, first in enumerate(scripts):
+        words = ["".join(chr(first + rng.randrange(20)) for _ in range(5)) for _ in range(30)]
+        for _ in range(9 if j < 16 else 4):
+            rows.append((len(rows), " ".join(rng.choice(words) for _ in range(40)), f"l{j:02d}"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    sample = language_id.labelled_sample(docs)
+    assert Counter(lang for lang, _ in sample) == Counter(lang for _, _, lang in rows)
+    got = {r.doc_id: r for r in language_id.identify(docs, language_id.train(sample)).collect()}
+    assert all(got[i].keep and got[i].language == lang for i, _, lang in rows)
+    assert language_id.keep_identified(docs).count() == len(rows)
+
+
 # 2
 
 
