@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..runtime import cut, fresh
+
 
 def first_rows(rows: DataFrame, n: int, order: list[str]) -> DataFrame:
     """The first ``n`` rows in the order of some columns."""
@@ -20,16 +22,18 @@ def numbered(rows: DataFrame, order: list[str], name: str = "row_no") -> DataFra
     """The rows with their place (from 0) in a total order, without a single-partition window.
 
     Rows are range-partitioned by the order; each partition is numbered by itself and shifted by the sizes of those
-    before it.
+    before it. Ranges and places are computed once and checkpointed in the shared folder: a plan that was run again for
+    the sizes could be cut into other partitions, and rows would be lost or share a place.
     """
-    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__mr_id", F.monotonically_increasing_id())
-    ranged = ranged.withColumn("__mr_part", F.shiftright("__mr_id", 33))
-    sizes = ranged.groupBy("__mr_part").agg(F.count(F.lit(1)).alias("__mr_n"))
-    before = Window.orderBy("__mr_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("__mr_part", F.coalesce(F.sum("__mr_n").over(before), F.lit(0)).alias("__mr_start"))
-    within = F.col("__mr_id") - F.shiftleft(F.col("__mr_part"), 33)
-    joined = ranged.join(starts, "__mr_part")
-    return joined.select(*rows.columns, (F.col("__mr_start") + within).alias(name))
+    at, part, start = fresh(rows, "at", "part", "start")
+    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(at, F.monotonically_increasing_id())
+    ranged = cut(ranged).withColumn(part, F.shiftright(at, 33))
+    sizes = ranged.groupBy(part).agg(F.count(F.lit(1)).alias(start))
+    before = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(part, F.coalesce(F.sum(start).over(before), F.lit(0)).alias(start))
+    within = F.col(at) - F.shiftleft(F.col(part), 33)
+    # One row per partition: the sizes are as many as there were tasks, whatever the table's length.
+    return ranged.join(F.broadcast(starts), part).select(*rows.columns, (F.col(start) + within).alias(name))
 
 
 def ensemble_split(rows: DataFrame, models: list[str], order: list[str]) -> DataFrame:
@@ -40,14 +44,15 @@ def ensemble_split(rows: DataFrame, models: list[str], order: list[str]) -> Data
     names = [m.strip() for m in models if m.strip()]
     if not names:
         raise ValueError("at least one model is needed")
-    placed = numbered(rows, order, "__mr_row")
-    size = rows.agg(F.greatest(F.lit(1), F.floor(F.count(F.lit(1)) / F.lit(len(names)))).alias("__mr_size"))
-    part = F.least(F.floor(F.col("__mr_row") / F.col("__mr_size")), F.lit(len(names) - 1)).cast("int")
+    row, size = fresh(rows, "row", "size")
+    placed = numbered(rows, order, row)
+    sizes = placed.agg(F.greatest(F.lit(1), F.floor(F.count(F.lit(1)) / F.lit(len(names)))).alias(size))
+    part = F.least(F.floor(F.col(row) / F.col(size)), F.lit(len(names) - 1)).cast("int")
     return (
-        placed.crossJoin(F.broadcast(size))
+        placed.crossJoin(F.broadcast(sizes))
         .withColumn("part", part)
         .withColumn("model", F.element_at(F.array(*map(F.lit, names)), F.col("part") + 1))
-        .drop("__mr_row", "__mr_size")
+        .drop(row, size)
     )
 
 

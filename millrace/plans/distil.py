@@ -67,7 +67,7 @@ def run(
     spark = docs.sparkSession
     progress(5)
     todo = remaining(prompt_rows(docs, config), read_checkpoint(spark, config.checkpoint_dir))
-    todo = cut(ensemble_split(todo, config.models, ["doc_id", "chunk_no"]))
+    todo = ensemble_split(todo, config.models, ["doc_id", "chunk_no"])
     if todo.isEmpty():
         raise ValueError("there are no prompts to generate from")
     progress(20)

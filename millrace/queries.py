@@ -392,12 +392,12 @@ def prompt_limit(spark, sf_dir):
 
 @_query(
     "ensemble_split",
-    f"""WITH {_DOCS}, n AS (SELECT rec_id, row_number() OVER (ORDER BY rec_id) - 1 AS i, greatest(1, count(*) OVER () // 3) AS size FROM docs)
-SELECT rec_id, least(i // size, 2)::INTEGER AS part, ['a', 'b', 'c'][least(i // size, 2) + 1] AS model FROM n""",
+    f"""WITH {_DOCS}, n AS (SELECT rec_id, output, row_number() OVER (ORDER BY rec_id) - 1 AS i, greatest(1, count(*) OVER () // 3) AS size FROM docs)
+SELECT rec_id, output, least(i // size, 2)::INTEGER AS part, ['a', 'b', 'c'][least(i // size, 2) + 1] AS model FROM n""",
 )
 def ensemble_split(spark, sf_dir):
     """H3."""
-    return split.ensemble_split(_documents(spark, sf_dir).select("rec_id"), ["a", "b", "c"], ["rec_id"])
+    return split.ensemble_split(_documents(spark, sf_dir).select("rec_id", "output"), ["a", "b", "c"], ["rec_id"])
 
 
 @_query("union_parts", f"WITH {_DOCS} SELECT rec_id, (CASE WHEN rec_id % 2 = 0 THEN 0 ELSE 1 END)::INTEGER AS part FROM docs")

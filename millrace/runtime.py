@@ -28,3 +28,16 @@ def cut(df: DataFrame) -> DataFrame:
     """``df`` computed once and checkpointed in the shared folder, so that a lost executor costs no rework."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def fresh(df: DataFrame, *stems: str) -> list[str]:
+    """A column name for each stem that ``df`` does not have, in any case of its letters."""
+    taken = {c.lower() for c in df.columns}
+    names = []
+    for stem in stems:
+        name = f"__mr_{stem}"
+        while name in taken:
+            name += "_"
+        taken.add(name)
+        names.append(name)
+    return names

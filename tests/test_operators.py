@@ -129,6 +129,26 @@ def test_ensemble_split(spark, n, models):
         split.ensemble_split(spark.range(n), [" ", ""], ["id"])
 
 
+@pytest.fixture()
+def wide(spark):
+    """Rows wide enough that adaptive execution joins partitions otherwise for the rows than for their ids alone."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "32")
+    text = F.concat_ws(" ", *[F.sha2(F.concat(F.col("id").cast("string"), F.lit(str(k))), 512) for k in range(24)])
+    yield spark.range(40_000).select(((F.col("id") * 7919) % 40_000).alias("id"), text.alias("text"), F.lit("x").alias("__mr_at"))
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_numbering_of_wide_rows_loses_none(spark, wide):
+    right = (F.col("id") == F.col("row_no")).alias("right")
+    got = split.numbered(wide, ["id"]).groupBy(right).agg(F.count(F.lit(1)), F.min(F.length("text"))).collect()
+    assert [tuple(r) for r in got] == [(True, 40_000, 24 * 129 - 1)]
+    parts = split.ensemble_split(wide, ["a", "b", "c"], ["id"])
+    got = {r.part: (r.n, r.least, r.most) for r in parts.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least"), F.max("id").alias("most"), F.min(F.length("text"))).collect()}
+    assert got == {0: (13_333, 0, 13_332), 1: (13_333, 13_333, 26_665), 2: (13_334, 26_666, 39_999)}
+    assert parts.columns == [*wide.columns, "part", "model"]
+
+
 def test_formats(spark):
     df = spark.createDataFrame([(1, "do", "this", "done"), (2, "do", "", "done"), (3, "do", None, "done")], "rec_id long, instruction string, input string, output string")
     rows = {f: [r.asDict(True) for r in formats.convert(df, f, ["rec_id"]).orderBy("rec_id").collect()] for f in formats.FORMATS}
