@@ -66,7 +66,7 @@ class Featured:
 def featurise(texts: pa.Array) -> Featured:
     """Character n-grams (byte pairs and trigrams with word boundaries), affixes of up to 4 bytes and word hashes."""
     raw, meet = as_bytes(pc.utf8_lower(texts))
-    mask = letters()[raw]
+    mask = letters(raw)
     starts, ends, doc = runs(mask, meet)
     n = len(raw)
     shown = np.where(mask, raw, np.uint8(32)).astype(np.uint32)

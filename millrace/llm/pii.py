@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
@@ -11,10 +12,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
-from .textbytes import as_bytes, hash_of, letters, member, runs, slices, span_hashes
+from .common import cut, integer_id, table
+from .textbytes import WORD, as_bytes, hash_of, letters, member, runs, slices, span_hashes
 
-#: Words on each side of an identifier that count as occurring with it.
+#: Words on each side of an identifier that count as occurring with it, whatever their length and the text's. Words of
+#: other identifiers in between are not among them.
 WINDOW = 8
 #: Distinct surroundings from which a joint count is taken in full; fewer are weaker evidence (``revealing_terms``).
 #: Copies of one text are one surrounding.
@@ -23,18 +25,18 @@ SUPPORT = 3
 GENERALISE = 0.75
 REMOVE = 0.9
 #: Most terms (9 bytes each) that are broadcast; with more, terms meet documents in a join.
-BROADCAST_TERMS = 5_000_000
+BROADCAST_TERMS = 1_000_000
 
+_OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 ENTITY = re.compile(
     r"(?P<EMAIL>(?<![\w.%+-])[\w.%+-]+@[\w-]+(?:\.[\w-]+)+)"
-    r"|(?P<IP>(?<![\d.])(?:(?:2[0-4]\d|25[0-5]|1?\d?\d)\.){3}(?:2[0-4]\d|25[0-5]|1?\d?\d)(?!\.?\d))"
+    rf"|(?P<IP>(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\.?\d))"
     r"|(?P<IBAN>\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b)"
     r"|(?P<CARD>(?<![\w-])\d(?:[ -]?\d){12,18}(?![\w-]))"
-    r"|(?P<SSN>(?<![\w-])\d\d\d-\d\d-\d{4}(?![\w-]))"
-    r"|(?P<PHONE>\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}(?!\w)"
+    r"|(?P<SSN>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))"
+    r"|(?P<PHONE>\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\w)"
     r"|(?<![\w.])\(?\d{3}\)?[ .-]\d{3}[ .-]\d{4}(?!\w))"
 )
-_WORD = re.compile(r"(?:[A-Za-z]|[^\x00-\x7f])+")  # as the runs of letters that textbytes finds
 
 
 def _signed(h: np.ndarray) -> np.ndarray:
@@ -57,16 +59,21 @@ def mentions(docs: DataFrame) -> DataFrame:
         for batch in slices(batches, "text"):
             rows: dict[str, list[int]] = {"entity": [], "term": [], "around": []}
             texts = batch.column(0)
-            for text in texts.filter(pa.array(_may_name(texts))).to_pylist():
+            texts = texts.filter(pa.array(_may_name(texts)))
+            for text, low in zip(texts.to_pylist(), pc.utf8_lower(texts).to_pylist()):
                 found = list(ENTITY.finditer(text))
+                if not found:
+                    continue
+                plain, last = [], 0
+                for m in found:
+                    plain += [low[last : m.start()], " " * (m.end() - m.start())]
+                    last = m.end()
+                every = [(m.start(), m.group()) for m in WORD.finditer("".join([*plain, low[last:]]))]
                 near: dict[str, list[str]] = {}
-                for i, m in enumerate(found):
-                    before = found[i - 1].end() if i else 0
-                    after = found[i + 1].start() if i + 1 < len(found) else len(text)
-                    left = _WORD.findall(text[max(before, m.start() - 40 * WINDOW) : m.start()].lower())[-WINDOW:]
-                    right = _WORD.findall(text[m.end() : min(after, m.end() + 40 * WINDOW)].lower())[:WINDOW]
+                for m in found:
+                    i = bisect_left(every, (m.start(), ""))
                     key = m.lastgroup + ":" + re.sub(r"[^\w@.]" if m.lastgroup == "EMAIL" else r"\W", "", m.group().lower())
-                    near.setdefault(key, []).extend(left + right)
+                    near.setdefault(key, []).extend(w for _, w in every[max(0, i - WINDOW) : i + WINDOW])
                 for key, words in near.items():
                     entity, around = int(hash_of(key)), int(hash_of(" ".join(words)))
                     for term in [None, *map(int, {hash_of(w) for w in words})]:
@@ -82,7 +89,7 @@ def mentions(docs: DataFrame) -> DataFrame:
 def _distinct_terms(texts: pa.Array, known: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
     """(text numbers, hashes) of the words of some texts, each once a text; only ``known`` ones if given."""
     raw, at = as_bytes(pc.utf8_lower(texts))
-    starts, ends, doc = runs(letters()[raw], at)
+    starts, ends, doc = runs(letters(raw), at)
     h = _signed(span_hashes(raw, starts, ends))
     if known is not None:
         hit = member(h, known) >= 0
@@ -189,19 +196,22 @@ def sanitise(
 
     Identifiers (mail and IP addresses, telephone, card, account and social security numbers) become the name of their
     class in brackets. Terms that disclose more than ``generalise`` of an identifier's information (``revealing_terms``)
-    become ``[TERM]``, those beyond ``remove`` are removed. All other text stays as it is.
+    become the class of words that they are written like, ``[NAME]``, ``[ACRONYM]`` or ``[WORD]``: so many words share
+    a class that it discloses next to nothing. Those beyond ``remove`` are removed. All other text stays as it is.
 
-    Defined cases: a null text stays null and an empty one empty, with zero counts; a null id stays null; repeated rows
-    give repeated rows and count in the corpus; an empty table gives no rows.
+    Defined cases: a null text stays null and an empty one empty, with zero counts; a text of any length is read whole;
+    a null id stays null and an id that is no integer is a ValueError; repeated rows give repeated rows and count in
+    the corpus; of several identifiers that a term discloses, the one it discloses most of decides, and equal shares
+    decide alike; an empty table gives no rows; other columns are not read, whatever their names.
     """
-    named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    named = docs.select(integer_id(docs, id_col).alias("doc_id"), F.col(text_col).alias("text"))
     terms = cut(revealing_terms(named, generalise, remove))
     n_terms = terms.count()
     limit = BROADCAST_TERMS if broadcast_terms is None else broadcast_terms
     known = None
     if n_terms <= limit:
-        rows = sorted((r.term, r.remove) for r in terms.collect())
-        known = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], bool)
+        rows = terms.toArrow().sort_by("term")
+        known = rows.column("term").to_numpy(), rows.column("remove").to_numpy()
     shared = docs.sparkSession.sparkContext.broadcast(known)
 
     def clean(batches):
@@ -209,8 +219,9 @@ def sanitise(
             texts = batch.column(1)
             n = len(texts)
             counts = np.zeros((3, n), np.int32)
-            raw, at = as_bytes(pc.utf8_lower(pc.fill_null(texts, "")))
-            starts, ends, doc = runs(letters()[raw], at)
+            low = pc.utf8_lower(pc.fill_null(texts, ""))
+            raw, at = as_bytes(low)
+            starts, ends, doc = runs(letters(raw), at)
             hashes = _signed(span_hashes(raw, starts, ends))
             if shared.value is not None:
                 known_terms, gone = shared.value
@@ -228,14 +239,13 @@ def sanitise(
             touched[doc[hit]] = True
             new = []
             for i in np.flatnonzero(touched).tolist():
-                text = texts[i].as_py()
+                text, small = texts[i].as_py(), low[i].as_py()
                 out, last = [], 0
-                plain = lambda s, i=i: _reword(s, bad[i], counts, i) if i in bad else s
                 for m in ENTITY.finditer(text):
-                    out += [plain(text[last : m.start()]), f"[{m.lastgroup}]"]
+                    out += [_reword(text, small, last, m.start(), bad.get(i), counts, i), f"[{m.lastgroup}]"]
                     last = m.end()
                     counts[0, i] += 1
-                new.append("".join([*out, plain(text[last:])]))
+                new.append("".join([*out, _reword(text, small, last, len(text), bad.get(i), counts, i)]))
             if new:
                 texts = pc.replace_with_mask(texts.cast(pa.string()), pa.array(touched), pa.array(new, pa.string()))
             yield pa.record_batch(
@@ -250,17 +260,26 @@ def sanitise(
     return named.mapInArrow(clean, _OUT)
 
 
-def _reword(text: str, bad: dict[str, bool], counts: np.ndarray, i: int) -> str:
-    """The text with revealing terms generalised or removed."""
+def word_class(word: str) -> str:
+    """The class that a word is generalised to, by the way it is written."""
+    if len(word) > 1 and word.isupper():
+        return "[ACRONYM]"
+    return "[NAME]" if word[:1].isupper() else "[WORD]"
+
 
-    def one(m: re.Match) -> str:
-        remove = bad.get(m.group().lower())
+def _reword(text: str, low: str, start: int, end: int, bad: dict[str, bool] | None, counts: np.ndarray, i: int) -> str:
+    """That part of the text with revealing terms generalised or removed; ``low`` is the text in lower case."""
+    if not bad:
+        return text[start:end]
+    out, last = [], start
+    for m in WORD.finditer(low, start, end):
+        remove = bad.get(m.group())
         if remove is None:
-            return m.group()
+            continue
         counts[2 if remove else 1, i] += 1
-        return "" if remove else "[TERM]"
-
-    return _WORD.sub(one, text)
+        out += [text[last : m.start()], "" if remove else word_class(text[m.start() : m.end()])]
+        last = m.end()
+    return "".join([*out, text[last:end]])
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

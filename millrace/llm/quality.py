@@ -35,7 +35,7 @@ def ngrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     n-gram whatever the token, and so is a pair of upper-case tokens, as neither depends on the vocabulary.
     """
     raw, at = as_bytes(texts)
-    word = alnum()[raw]
+    word = alnum(raw)
     kind = np.where(word, 2, np.where(raw > 32, 1, 0)).astype(np.int8)
     edge = np.zeros(len(raw) + 1, bool)
     edge[at] = True

@@ -7,25 +7,65 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 
 _P = 0x9E3779B97F4A7C15
 _INVERSE = pow(_P, -1, 1 << 64)
 
 
-def letters() -> np.ndarray:
-    """True for ASCII letters and every byte of a non-ASCII character."""
-    lut = np.zeros(256, bool)
-    lut[ord("a") : ord("z") + 1] = lut[ord("A") : ord("Z") + 1] = lut[128:] = True
-    return lut
+#: A word: letters with their marks. The masks below ask the same library, so both always agree.
+WORD = regex.compile(r"[\p{L}\p{M}]+")
+_LETTER, _NUMBER = regex.compile(r"[\p{L}\p{M}]"), regex.compile(r"\p{N}")
+#: By code point: 0 not looked up yet, 1 neither, 2 letter or mark, 3 number. Filled as characters are met.
+_KIND = np.zeros(0x110000, np.uint8)
 
 
-def alnum() -> np.ndarray:
-    """``letters`` and ASCII digits."""
-    lut = letters()
-    lut[ord("0") : ord("9") + 1] = True
+def _ascii(letter: int, number: int) -> np.ndarray:
+    lut = np.ones(256, np.uint8)
+    lut[ord("a") : ord("z") + 1] = lut[ord("A") : ord("Z") + 1] = letter
+    lut[ord("0") : ord("9") + 1] = number
     return lut
 
 
+_ASCII = _ascii(2, 3)
+
+
+def kinds(raw: np.ndarray) -> np.ndarray:
+    """2 for each byte of a letter or mark of any script, 3 for one of a number, 1 for all else (broken UTF-8 too)."""
+    out = _ASCII[raw]
+    lead = np.flatnonzero(raw >= 0xC0)
+    if not len(lead):
+        return out
+    first = raw[lead].astype(np.int64)
+    size = 2 + (first >= 0xE0) + (first >= 0xF0)
+    point = first & np.array([0x1F, 0x0F, 0x07])[size - 2]
+    sound = lead + size <= len(raw)
+    for k in (1, 2, 3):
+        more = k < size
+        byte = raw[np.minimum(lead + k, len(raw) - 1)].astype(np.int64)
+        sound &= ~more | (byte & 0xC0 == 0x80)
+        point = np.where(more, (point << 6) | (byte & 0x3F), point)
+    sound &= point < len(_KIND)
+    lead, size, point = lead[sound], size[sound], point[sound]
+    for c in np.unique(point[_KIND[point] == 0]).tolist():
+        _KIND[c] = 2 if _LETTER.match(chr(c)) else 3 if _NUMBER.match(chr(c)) else 1
+    kind = _KIND[point]
+    for k in range(4):
+        inside = size > k
+        out[lead[inside] + k] = kind[inside]
+    return out
+
+
+def letters(raw: np.ndarray) -> np.ndarray:
+    """True for every byte of a letter or mark of any script."""
+    return kinds(raw) == 2
+
+
+def alnum(raw: np.ndarray) -> np.ndarray:
+    """True for every byte of a letter, mark or number of any script."""
+    return kinds(raw) > 1
+
+
 def slices(batches, column: str, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The batches in cuts of about ``limit`` bytes of ``column`` (one row at least)."""
     for batch in batches:

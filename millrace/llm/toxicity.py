@@ -227,7 +227,7 @@ def restore(channel: Channel, texts: pa.Array) -> Read:
     found: list[tuple[int, str, str]] = []
     if not n:
         return Read(np.zeros(0, np.int64), [], found)
-    letter = letters()[raw]
+    letter = letters(raw)
     starts, ends, doc = runs(letter, at)
     codes = Spans(raw)
     features = word_features(codes, starts, ends)

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import re
+import regex
 
 
 def shingles(text: str, n: int = 3) -> set:
-    words = re.findall(r"(?:[a-z0-9]|[^\x00-\x7f])+", text.lower())
+    words = regex.findall(r"[\p{L}\p{M}\p{N}]+", text.lower())
     return {tuple(words[i : i + n]) for i in range(max(1, len(words) - n + 1))} if words else set()
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import itertools
 import math
 import random
+import re
 from collections import Counter
 
 import duckdb
@@ -117,12 +118,13 @@ def plain_terms(texts):
     """Disclosure shares by counting everything."""
     n = len(texts)
     with_entity, both, around, with_term = Counter(), Counter(), {}, Counter()
+    words_of = lambda t: re.findall(r"[^\W\d_]+", t.lower())
     for t in texts:
-        with_term.update(set(pii._WORD.findall(t.lower())))
+        with_term.update(set(words_of(t)))
         near = {}
         for m in pii.ENTITY.finditer(t):
-            left = pii._WORD.findall(t[: m.start()].lower())[-pii.WINDOW :]
-            near.setdefault(m.group().lower(), []).extend(left + pii._WORD.findall(t[m.end() :].lower())[: pii.WINDOW])
+            left, right = (words_of(pii.ENTITY.sub(" ", part)) for part in (t[: m.start()], t[m.end() :]))
+            near.setdefault(m.group().lower(), []).extend(left[-pii.WINDOW :] + right[: pii.WINDOW])
         for e, words in near.items():
             with_entity[e] += 1
             for w in set(words):
@@ -130,9 +132,9 @@ def plain_terms(texts):
                 around.setdefault((e, w), set()).add(" ".join(words))
     share = {}
     for (e, w), k in both.items():
-        if len(around[e, w]) >= pii.SUPPORT:
-            s = 1 + math.log(k / with_term[w]) / max(math.log(n / with_entity[e]), 1e-9)
-            share[w] = max(share.get(w, -9), s)
+        evidence = min(1, len(around[e, w]) / pii.SUPPORT)
+        s = 1 + math.log(k * evidence / with_term[w]) / max(math.log(n / with_entity[e]), 1e-9)
+        share[w] = max(share.get(w, -9), s)
     return {w: s >= pii.REMOVE for w, s in share.items() if s >= pii.GENERALISE}
 
 
@@ -149,16 +151,18 @@ def test_revealing_terms(spark, monkeypatch, limit):
             words[2] = "semirare"
         if i % 12 == 0:
             words[3] = "+1 (555) 555-1234"
+        if i % 15 == 0:  # far from the identifier in characters, near it in words, and beyond another one
+            words[7:10] = [f"“{'x' * 400}{'abcdefgh'[i // 15 % 8]}”", "83.229.25.121", "Quuxworth"]
         texts.append(" ".join(words))
     monkeypatch.setattr(pii, "BROADCAST_TERMS", limit)
     terms = plain_terms(texts)
-    assert terms["zorblatt"]
+    assert terms["zorblatt"] and "quuxworth" in terms
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     for r in pii.sanitise(df).collect():
-        want = pii.ENTITY.sub(lambda m: f"[{m.lastgroup}]", texts[r.doc_id])
-        parts = want.split(" ")
-        want = " ".join(p if p not in terms else "" if terms[p] else "[TERM]" for p in parts)
-        assert r.text == want
+        new = lambda m: m.group() if (t := m.group().lower()) not in terms else "" if terms[t] else pii.word_class(m.group())
+        parts = [re.sub(r"[^\W\d_]+", new, p) for p in pii.ENTITY.split(texts[r.doc_id])[:: pii.ENTITY.groups + 1]]
+        kinds = [f"[{m.lastgroup}]" for m in pii.ENTITY.finditer(texts[r.doc_id])]
+        assert r.text == "".join(p + k for p, k in zip(parts, [*kinds, ""]))
 
 
 @pytest.mark.parametrize("limit", [pii.BROADCAST_TERMS, -1])
@@ -172,7 +176,7 @@ def test_terms_of_identifiers_in_one_or_two_texts(spark, monkeypatch, limit):
     texts[40] += " lonelyword"
     monkeypatch.setattr(pii, "BROADCAST_TERMS", limit)
     got = {r.doc_id: r for r in pii.sanitise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
-    assert got[10].text.endswith(" [TERM] [EMAIL]") and got[10].n_generalised == 1  # 1 - log(3) / log(300) = 0.81
+    assert got[10].text.endswith(" [WORD] [EMAIL]") and got[10].n_generalised == 1  # 1 - log(3) / log(300) = 0.81
     assert all(got[i].text.endswith("  [EMAIL]") and got[i].n_removed == 1 for i in (20, 30))  # 1 - log(3/2) / log(150) = 0.92
     rest = set(got) - {10, 20, 30}
     assert all(got[i].text == texts[i] for i in rest)
@@ -181,6 +185,8 @@ def test_terms_of_identifiers_in_one_or_two_texts(spark, monkeypatch, limit):
 def test_identifiers():
     hidden = "a.b@c.example 83.229.25.121 +1 (974) 555-3436 4952935900253052 123-45-6789 (555) 123-4567 DE89 3704 0044 0532 0130 00"
     assert pii.ENTITY.sub(lambda m: m.lastgroup, hidden) == "EMAIL IP PHONE CARD SSN PHONE IBAN"
+    assert pii.ENTITY.sub("X", "call +1 555) 555 1234 or +49 (30 1234 5678 now") == "call X or X now"  # one parenthesis only
+    assert [pii.word_class(w) for w in ("Zorblatt", "NATO", "X", "zorblatt", "漢字")] == ["[NAME]", "[ACRONYM]", "[NAME]", "[WORD]", "[WORD]"]
     plain = "version 4.0 of 2024 has 12,345 words at 10:30 and 1.2.3.4.5 parts, see chapter 3"
     assert pii.ENTITY.sub("X", plain).count("X") == 0
 
