@@ -11,11 +11,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import integer_id, table
 from .textbytes import Spans, as_bytes, hash_of, letters, member, mix64, runs, slices, span_codes, span_hashes
 
-#: Bound of the labelled sample from which word weights are learned, for each class.
+#: Bounds of the labelled sample from which word weights are learned: documents of each class, and characters of one.
 DOCS_PER_CLASS = 3000
+LONGEST_SAMPLE = 20_000
 #: Share of the learned toxic words in the character model; the rest is the corpus.
 LEXICON_SHARE = 0.3
 
@@ -23,8 +24,9 @@ LEET = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g",
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "*": "aeiou",
 }
+#: Log probability that a blank was put into a word.
+SPLIT = -2.0
 _SYMBOLS = 64
-_WILD = ord("*")
 
 
 def _symbol_table() -> np.ndarray:
@@ -182,6 +184,8 @@ class Channel:
         self.squeezed = np.unique(np.array([hash_of(squeeze(w)) for w in self.lexicon], np.uint64))
         self.near = np.zeros(1 << 16, bool)
         self.near[(self.hashes >> np.uint64(48)).astype(np.int64)] = True
+        self.near_words = np.zeros(1 << 16, bool)
+        self.near_words[(self.words >> np.uint64(48)).astype(np.int64)] = True
         self.cache: dict[tuple[str, bool], str] = {}
         self.flat: list[float] = []
 
@@ -191,6 +195,20 @@ class Channel:
         which = member(hashes[maybe], self.hashes)
         return maybe[which >= 0], which[which >= 0]
 
+    def is_word(self, hashes: np.ndarray) -> np.ndarray:
+        """Places in ``hashes`` of toxic words."""
+        maybe = np.flatnonzero(self.near_words[(hashes >> np.uint64(48)).astype(np.int64)])
+        return maybe[member(hashes[maybe], self.words) >= 0]
+
+    def spell(self, text: str) -> float:
+        """Log probability of a text between blanks under the character model."""
+        s = [0, 0, *(_CODE[byte] for byte in text.encode()), 0]
+        return float(sum(self.lm[a, b, c] for a, b, c in zip(s, s[1:], s[2:])))
+
+    def closes(self, parts: list[str]) -> bool:
+        """Whether parts between blanks are more probably one word that was split, at ``SPLIT`` a gap, than words."""
+        return self.spell("".join(parts)) + SPLIT * (len(parts) - 1) > self.spell(" ".join(parts))
+
     def read(self, token: str, spaced: bool = False) -> str:
         self.flat = self.flat or self.lm.ravel().tolist()
         if len(token) > 64:
@@ -216,11 +234,12 @@ def restore(channel: Channel, texts: pa.Array) -> Read:
     """The words of the texts and the readings of their ambiguous tokens.
 
     Tokens without an ambiguous sign have a lattice of one path and are not decoded. Decoded are tokens of letters and
-    signs of ``LEET`` wherever the signs stand (the lattice may keep them as written), letters repeated three times, words that are a toxic word once their doubled
-    letters are single, three or more single characters with anything but letters and digits between them, and what
-    white space bounds when it has such a token among parts. Any number of parts of any length that make a toxic word
-    are joined across gaps of any length; a gap of white space alone counts beside a part of one letter only, or any
-    two words of the text might meet. Letters are counted as characters, whatever their bytes.
+    signs of ``LEET`` wherever the signs stand (the lattice may keep them as written), letters repeated three times,
+    words that are a toxic word once their doubled letters are single, three or more single characters with anything
+    but letters and digits between them, and what white space bounds when it has such a token among parts. Any number
+    of parts of any length that make a toxic word are joined across gaps of any length; where the gaps are white space
+    alone and no part is a single letter, only if the character model finds the whole word more probable
+    (``Channel.closes``). Letters are counted as characters, whatever their bytes.
     """
     raw, at = as_bytes(pc.utf8_lower(pc.fill_null(texts, "")))
     n = len(raw)
@@ -307,17 +326,22 @@ def restore(channel: Channel, texts: pa.Array) -> Read:
         upto = np.concatenate([[0], np.cumsum(letter)])
         blanks = np.concatenate([[0], np.cumsum(raw <= 32)])
         single = chars[ends] - chars[starts] == 1
-        marked = blanks[starts[1:]] - blanks[ends[:-1]] < starts[1:] - ends[:-1]
-        gap = (doc[1:] == doc[:-1]) & (marked | single[1:] | single[:-1])
+        # By the words before: gaps with a sign in them or a single letter at one side.
+        plain = blanks[starts[1:]] - blanks[ends[:-1]] < starts[1:] - ends[:-1]
+        plain = np.concatenate([[0], np.cumsum(~(plain | single[1:] | single[:-1]))])
+        gap = doc[1:] == doc[:-1]
         first, parts = np.flatnonzero(gap), 2
         while len(first):
             last = first + parts - 1
             first = first[upto[ends[last]] - upto[starts[first]] <= longest]
-            code = only(upto[starts[first]], upto[ends[first + parts - 1]])
-            for i in first[member(mix64(code), channel.words) >= 0].tolist():
-                seen = cut(starts[i], ends[i + parts - 1])
-                whole = raw[starts[i] : ends[i + parts - 1]]
-                found.append((int(doc[i]), seen, whole[letter[starts[i] : ends[i + parts - 1]]].tobytes().decode(errors="replace")))
+            code = mix64(only(upto[starts[first]], upto[ends[first + parts - 1]]))
+            for i in first[channel.is_word(code)].tolist():
+                j = i + parts - 1
+                if plain[j] - plain[i] == parts - 1 and not channel.closes([cut(starts[k], ends[k]) for k in range(i, j + 1)]):
+                    continue
+                whole = raw[starts[i] : ends[j]]
+                read_as = whole[letter[starts[i] : ends[j]]].tobytes().decode(errors="replace")
+                found.append((int(doc[i]), cut(starts[i], ends[j]), read_as))
             first = first[first + parts < len(starts)]
             first = first[gap[first + parts - 1]]
             parts += 1
@@ -464,13 +488,17 @@ def _words(text: str) -> list[str]:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> list[tuple[str, int]]:
-    """(text, toxic) of at most ``DOCS_PER_CLASS`` documents of each class, drawn by a hash of the id."""
+    """(text, toxic) of at most ``DOCS_PER_CLASS`` documents of each class, drawn by a hash of the id.
+
+    Texts of more than ``LONGEST_SAMPLE`` characters are not drawn, so that the sample is bounded in bytes too.
+    """
     draw = Window.partitionBy("toxic").orderBy(F.xxhash64("id"), "id")
     marks = labels.select(F.col("doc_id").alias("id"), F.col("toxic").cast("int").alias("toxic"))
     marks = marks.filter("id IS NOT NULL AND toxic IN (0, 1)").groupBy("id").agg(F.max("toxic").alias("toxic"))
     drawn = marks.withColumn("n", F.row_number().over(draw)).filter(F.col("n") <= DOCS_PER_CLASS).select("id", "toxic")
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("text IS NOT NULL")
-    rows = texts.join(F.broadcast(drawn), "id").dropDuplicates(["id"]).collect()
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    texts = texts.filter(F.length("text") <= LONGEST_SAMPLE)
+    rows = texts.join(F.broadcast(drawn), "id").groupBy("id").agg(F.min("text").alias("text"), F.min("toxic").alias("toxic")).collect()
     return [(r.text, r.toxic) for r in sorted(rows, key=lambda r: r.id)]
 
 
@@ -481,8 +509,10 @@ def toxicity(docs: DataFrame, channel: Channel, id_col: str = "doc_id", text_col
     """``(doc_id, score, toxic, restored)`` of every document.
 
     ``restored`` lists the tokens whose most probable reading differs from what is written and holds a toxic word.
-    Defined cases: null and empty texts score as texts without any known word, like clean ones; a null id stays
-    null; repeated rows give repeated rows; an empty table gives no rows.
+    Defined cases: null and empty texts score as texts without any known word, like clean ones; a text of any length
+    is read whole; a null id stays null and an id that is no integer is a ValueError; of equally probable readings the
+    first counts, what is written before others; a score at the threshold is toxic; repeated rows give repeated rows;
+    an empty table gives no rows; other columns are not read, whatever their names.
     """
     shared = docs.sparkSession.sparkContext.broadcast(channel)
 
@@ -501,7 +531,7 @@ def toxicity(docs: DataFrame, channel: Channel, id_col: str = "doc_id", text_col
                 ["doc_id", "score", "toxic", "restored"],
             )
 
-    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    narrow = docs.select(integer_id(docs, id_col).alias("doc_id"), F.col(text_col).alias("text"))
     return narrow.mapInArrow(judge, _OUT)
 
 

@@ -245,16 +245,19 @@ def test_every_token_is_packed_once(spark, docs):
 # 4
 
 
-def every_reading(token):
+def every_reading(token, spaced=False):
     """All readings of a token with their channel cost."""
     parts = []
-    for c, run in itertools.groupby(token):
+    for at, (c, run) in enumerate(itertools.groupby(token)):
         n = len(list(run))
         options = []
         for x, cost in [(c, 0.0), *((x, -0.7 if c != "*" else -1.5) for x in toxicity.LEET.get(c, ""))]:
             options += [(x * n, n * cost)]
             options += [(x, cost - (0.5 if n > 2 else 2.0))] if n >= 2 else []
             options += [(x * 2, 2 * cost - 0.7)] if n > 2 else []
+        if spaced and at:
+            options += [(" " + x, cost - 1.0) for x, cost in options]
+            options += [("", -2.0)] if c in toxicity.LEET and not c.isdigit() else []
         parts.append(options)
     for choice in itertools.product(*parts):
         yield "".join(x for x, _ in choice), sum(cost for _, cost in choice)
@@ -274,6 +277,10 @@ def test_viterbi_finds_the_best_reading(spark, docs):
         got = toxicity.decode(token, lm)
         best = max(score(t) + cost for t, cost in every_reading(token))
         assert max(score(t) + cost for t, cost in every_reading(token) if t == got) == pytest.approx(best)
+    for token in ("idiot", "1d!ot", "anidiot", "s$u", "aab"):
+        got = toxicity.decode(token, lm, True)
+        best = max(score(t) + cost for t, cost in every_reading(token, True))
+        assert max(score(t) + cost for t, cost in every_reading(token, True) if t == got) == pytest.approx(best)
     assert toxicity.decode("5tup1d", lm) == "stupid" and len(toxicity.decode("x" * 200_000, lm)) in (1, 2, 200_000)
 
 
@@ -334,11 +341,38 @@ def test_accented_separated_and_unevenly_split_words(hiding):
     hidden = {"s-t-u-pid": "stupid", "st.up.i.d": "stupid", "st--upid": "stupid", "s-t-u-p1d": "stupid", "i*d*1*o*t": "idiot"}
     hidden |= {"blöööd": "blöd", "imb-é-cile": "imbécile", "s t u pid": "stupid", "i d 1 o t": "idiot"}
     assert all(w in r for w, r in zip(hidden.values(), restored(own, list(hidden)))), restored(own, list(hidden))
-    assert not any(set(words) & r for r in restored(own, ["stu pid", "the and of", "idi ot"]))
+    assert not any(set(words) & r for r in restored(own, ["stu pie", "the and of", "idi xot"]))
     apart = toxicity.restore(own, pa.array(["i d i", "o t", "blö", "öd"]))
     assert not any(set(words) & set(read.split()) for _, _, read in apart.found)
 
 
+def test_plainly_hidden_words_score_as_the_word(hiding):
+    frame = "the house by the river with the people and {} other things of the day"
+    forms = ["idiot", "“idiot”", "word—idiot—word", "idio7", "id iot", "idi ot", "i d i o t", "1d10t", "«idiot»", "idiot…", "\u00a0idiot\u00a0", "id\u200biot"]
+    p = toxicity.score(hiding, pa.array([frame.format(f) for f in forms]))[0]
+    clean = toxicity.score(hiding, pa.array([frame.format("tree")]))[0][0]
+    assert (p >= p[0] - 0.05).all() and p[0] > clean + 0.3
+
+
+def test_parted_words_against_brute_force(hiding):
+    rng = random.Random(13)
+    lm = toxicity.language_model(np.zeros((64, 64, 64)), dict.fromkeys(["abab", "ba", "caab", "öab"], 1.0))
+    own = toxicity.Channel(lm, lexicon=["abab", "ba", "caab", "öab"])
+    pieces = ["a", "b", "ab", "ca", "ö", "cab", "bab", "öa", "the"]
+    for _ in range(60):
+        words = [rng.choice(pieces) for _ in range(rng.randint(2, 9))]
+        gaps = [rng.choice([" ", " ", "  ", "-", ", "]) for _ in words[1:]]
+        want = set()
+        for i, j in itertools.combinations(range(len(words)), 2):
+            part, between = words[i : j + 1], gaps[i:j]
+            blank = all(not g.strip() and len(a) > 1 and len(b) > 1 for g, a, b in zip(between, part, part[1:]))
+            if "".join(part) in own.lexicon and (not blank or own.closes(part)):
+                want.add(("".join(itertools.chain(*zip(part, [*between, ""]))), "".join(part)))
+        text = "".join(itertools.chain(*zip(words, [*gaps, ""])))
+        got = {(seen, read) for _, seen, read in toxicity.restore(own, pa.array([text])).found if read in own.lexicon}
+        assert want <= got and all(seen in text or "".join(c for c in text if c.isalpha()).find(read) >= 0 for seen, read in got)
+
+
 # 5
 
 
