@@ -160,12 +160,13 @@ def word_features(codes: Spans, starts: np.ndarray, ends: np.ndarray) -> list[tu
     return out
 
 
-def features_of(words: list[str]) -> np.ndarray:
-    """All feature hashes of some words."""
+def features_of(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(places of words, hashes): all features of some words."""
     raw = np.frombuffer("".join(words).encode(), np.uint8)
     size = np.array([len(w.encode()) for w in words], np.int64)
     ends = np.cumsum(size)
-    return np.concatenate([h for _, h in word_features(Spans(raw), ends - size, ends)])
+    place, hashes = zip(*word_features(Spans(raw), ends - size, ends))
+    return np.concatenate(place), np.concatenate(hashes)
 
 
 @dataclass
@@ -364,11 +365,11 @@ def text_features(channel: Channel, texts: pa.Array, known: bool = True) -> tupl
 
     for place, hashes in got.features:
         add(got.doc[place], hashes)
-    for d, _, read in got.found:
-        words = _words(read)
-        if words:
-            hashes = features_of(words)
-            add(np.full(len(hashes), d), hashes)
+    # The words of all readings at once, as a batch has thousands of readings of a word or two.
+    owned = [(d, w) for d, _, read in got.found for w in _words(read)]
+    if owned:
+        place, hashes = features_of([w for _, w in owned])
+        add(np.array([d for d, _ in owned])[place], hashes)
     if not docs:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), got
     doc, key = np.concatenate(docs), np.concatenate(keys)
