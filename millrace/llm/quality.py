@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import integer_id, table
 from .textbytes import Spans, alnum, as_bytes, mix64, runs, slices
 
 #: Bound of the labelled sample that the model is fitted to, for each class.
@@ -21,8 +21,9 @@ GOOD_KEPT = 0.99
 
 @dataclass
 class Nbsvm:
-    """Weight of each hashed n-gram (log-count ratio times the machine's weight), bias and threshold."""
+    """Log-count ratio and machine's weight of each hashed n-gram, bias and threshold."""
 
+    ratio: np.ndarray
     weights: np.ndarray
     bias: float
     threshold: float
@@ -59,94 +60,125 @@ def ngrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return keys >> BITS, keys & ((1 << BITS) - 1)
 
 
-def fit(sample: list[tuple[str, int]], c: float = 1.0, epochs: int = 20, seed: int = 3, mixed: float = 0.25) -> Nbsvm | None:
-    """The model of a labelled sample of (text, quality); None where it has not both classes.
+def log_ratios(good: np.ndarray, bad: np.ndarray) -> np.ndarray:
+    """``r``: log of the smoothed, normalised counts of each n-gram in good texts over those in bad ones; 0 if in neither."""
+    p, q = 1.0 + good, 1.0 + bad
+    return np.where(good + bad > 0, np.log((p / p.sum()) / (q / q.sum())), 0.0)
 
-    ``r`` is the log ratio of smoothed, normalised n-gram counts in good and bad texts. On indicators scaled by ``r`` a
-    linear hinge-loss machine is fitted by dual coordinate descent (Hsieh et al. 2008), classes weighted to equal
-    shares, and its weights are interpolated with their mean magnitude as naive Bayes prior (Wang and Manning 2012).
-    The threshold is the largest that keeps ``GOOD_KEPT`` of the good texts of a held-out fifth, but not above 0.
+
+def descend(
+    feats: list[np.ndarray], y: np.ndarray, r: np.ndarray, cost: dict[int, float], epochs: int, rng: np.random.Generator
+) -> tuple[np.ndarray, float]:
+    """Weights and bias of the linear hinge-loss machine on the rows ``r[f] / |r[f]|``, by dual coordinate descent.
+
+    The bias is the weight of one more feature that is 1 everywhere (Hsieh et al. 2008). Rows are visited in random
+    order until no dual variable moves by a thousandth.
+    """
+    w, b = np.zeros(len(r)), 0.0
+    alpha = np.zeros(len(y))
+    scale = [1 / max(1e-9, float(np.linalg.norm(r[f]))) for f in feats]
+    square = [float((r[f] ** 2).sum()) * s**2 + 1.0 for f, s in zip(feats, scale)]
+    for _ in range(epochs):
+        moved = 0.0
+        for i in rng.permutation(len(y)).tolist():
+            f = feats[i]
+            x = r[f] * scale[i]
+            g = y[i] * (float(w[f] @ x) + b) - 1
+            new = min(max(alpha[i] - g / square[i], 0.0), cost[int(y[i])])
+            d = (new - alpha[i]) * y[i]
+            if d:
+                w[f] += d * x
+                b += d
+                alpha[i] = new
+                moved = max(moved, abs(d))
+        if moved < 1e-3:
+            break
+    return w, b
+
+
+def fit(sample: list[tuple[np.ndarray, int]], c: float = 1.0, epochs: int = 20, seed: int = 3, mixed: float = 0.25) -> Nbsvm | None:
+    """The model of a labelled sample of (distinct n-gram slots, quality); None where it has not both classes.
+
+    On indicators scaled by their ``log_ratios`` a linear hinge-loss machine is fitted (``descend``), classes weighted
+    to equal shares, and its weights are interpolated with their mean magnitude (Wang and Manning 2012): times ``r``,
+    that is a naive Bayes prior, which votes as the ratio does. The threshold is the largest that keeps ``GOOD_KEPT`` of
+    the good texts of a held-out fifth, but not above 0.
     """
     y = np.array([1 if q else -1 for _, q in sample])
     if len(set(y.tolist())) < 2:
         return None
-    parts = []
-    for start in range(0, len(sample), 64):  # n-grams of a few texts at a time: the driver's memory is small
-        doc, slot = ngrams(pa.array([t for t, _ in sample[start : start + 64]], pa.string()))
-        parts.append(((doc + start).astype(np.int32), slot.astype(np.int32)))
-    doc, slot = (np.concatenate(p) for p in zip(*parts))
-    begin = np.searchsorted(doc, np.arange(len(y) + 1))
+    feats = [np.asarray(f) for f, _ in sample]
     rng = np.random.default_rng(seed)
 
-    def train(rows: np.ndarray) -> tuple[np.ndarray, float]:
-        chosen = np.zeros(len(y), bool)
-        chosen[rows] = True
-        use = chosen[doc]
-        good = use & (y[doc] > 0)
-        p = 1 + np.bincount(slot[good], minlength=1 << BITS)
-        q = 1 + np.bincount(slot[use & ~good], minlength=1 << BITS)
-        r = np.log((p / p.sum()) / (q / q.sum()))
-        r[(p == 1) & (q == 1)] = 0
-        w, b = np.zeros(1 << BITS), 0.0
+    def train(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+        counts = [
+            np.bincount(np.concatenate([feats[i] for i in rows if y[i] == k] or [np.zeros(0, int)]), minlength=1 << BITS)
+            for k in (1, -1)
+        ]
+        r = log_ratios(*counts)
         cost = {k: c * len(rows) / (2.0 * max(1, (y[rows] == k).sum())) for k in (-1, 1)}
-        alpha = np.zeros(len(y))
-        feats = {i: slot[begin[i] : begin[i + 1]] for i in rows.tolist()}
-        scale = {i: 1 / max(1e-9, float(np.linalg.norm(r[f]))) for i, f in feats.items()}
-        square = {i: float((r[f] ** 2).sum()) * scale[i] ** 2 + 1.0 for i, f in feats.items()}
-        for _ in range(epochs):
-            moved = 0.0
-            for i in rng.permutation(rows).tolist():
-                f = feats[i]
-                x = r[f] * scale[i]
-                g = y[i] * (float(w[f] @ x) + b) - 1
-                new = min(max(alpha[i] - g / square[i], 0.0), cost[int(y[i])])
-                d = (new - alpha[i]) * y[i]
-                if d:
-                    w[f] += d * x
-                    b += d
-                    alpha[i] = new
-                    moved = max(moved, abs(d))
-            if moved < 1e-3:
-                break
+        w, b = descend([feats[i] for i in rows], y[rows], r, cost, epochs, rng)
         mean = np.abs(w[r != 0]).mean() if (r != 0).any() else 0.0
-        return ((1 - mixed) * w + mixed * mean * np.sign(r)) * r, b
+        return r, (1 - mixed) * w + mixed * mean, b
+
+    def decide(model: tuple[np.ndarray, np.ndarray, float], rows: np.ndarray) -> np.ndarray:
+        doc = np.repeat(np.arange(len(rows)), [len(feats[i]) for i in rows])
+        slot = np.concatenate([feats[i] for i in rows] or [np.zeros(0, int)])
+        return scores(*model, doc, slot, len(rows))
 
     order = rng.permutation(len(y))
     held, rest = order[: len(y) // 5], order[len(y) // 5 :]
     threshold = 0.0
     if len(set(y[rest].tolist())) == 2:
-        weights, b = train(rest)
-        got = np.sort(scores(weights, b, doc, slot, len(y))[held][y[held] > 0])
+        got = np.sort(decide(train(rest), held[y[held] > 0]))
         if len(got):
             threshold = min(0.0, float(got[int((1 - GOOD_KEPT) * len(got))]))
-    weights, b = train(np.arange(len(y)))
-    return Nbsvm(weights.astype(np.float32), float(b), threshold)
+    r, weights, b = train(np.arange(len(y)))
+    return Nbsvm(r.astype(np.float32), weights.astype(np.float32), float(b), threshold)
+
 
+def scores(ratio: np.ndarray, weights: np.ndarray, bias: float, doc: np.ndarray, slot: np.ndarray, n: int) -> np.ndarray:
+    """Decision value of each text: the weighted sum of its n-grams' ratios over the norm of these, plus the bias.
 
-def scores(weights: np.ndarray, bias: float, doc: np.ndarray, slot: np.ndarray, n: int) -> np.ndarray:
-    """Decision value of each text: the mean-square normalised sum of its n-grams' weights, plus the bias."""
-    w = weights[slot].astype(np.float64)
-    count = np.bincount(doc, minlength=n)
-    return np.bincount(doc, w, n) / np.sqrt(np.maximum(count, 1)) + bias
+    The same scaling as in ``descend``, so this is the fitted machine's own decision.
+    """
+    r = ratio[slot].astype(np.float64)
+    norm = np.sqrt(np.bincount(doc, r * r, n))
+    return np.bincount(doc, r * weights[slot], n) / np.maximum(norm, 1e-9) + bias
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> list[tuple[str, int]]:
-    """(text, quality) of at most ``DOCS_PER_CLASS`` documents of each class, drawn by a hash of the id."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> list[tuple[np.ndarray, int]]:
+    """(n-gram slots, quality) of at most ``DOCS_PER_CLASS`` documents of each class, drawn by a hash of the id.
+
+    N-grams are found where the texts are; the driver gets the slots only, at most ``2**BITS`` of a text of any length.
+    """
     draw = Window.partitionBy("quality").orderBy(F.xxhash64("id"), "id")
     marks = labels.select(F.col("doc_id").alias("id"), F.col("quality").cast("int").alias("quality"))
     marks = marks.filter("id IS NOT NULL AND quality IN (0, 1)").groupBy("id").agg(F.min("quality").alias("quality"))
     drawn = marks.withColumn("n", F.row_number().over(draw)).filter(F.col("n") <= DOCS_PER_CLASS).select("id", "quality")
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("text IS NOT NULL")
-    rows = texts.join(F.broadcast(drawn), "id").dropDuplicates(["id"]).collect()
-    return [(r.text, r.quality) for r in sorted(rows, key=lambda r: r.id)]
+
+    def find(batches):
+        for batch in slices(batches, "text"):
+            doc, slot = ngrams(batch.column(2))
+            edges = np.searchsorted(doc, np.arange(batch.num_rows + 1)).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(edges), pa.array(slot.astype(np.int32)))
+            yield pa.record_batch([batch.column(0), batch.column(1), lists], ["id", "quality", "slots"])
+
+    chosen = texts.join(F.broadcast(drawn), "id").select(F.col("id").cast("long").alias("id"), "quality", "text")
+    rows = chosen.mapInArrow(find, "id long, quality int, slots array<int>")
+    # Of rows that repeat an id the least list counts, so that the sample is the same whatever the order of rows.
+    rows = rows.groupBy("id").agg(F.min("slots").alias("slots"), F.min("quality").alias("quality")).toArrow().sort_by("id")
+    return list(zip([s.values.to_numpy() for s in rows.column("slots")], rows.column("quality").to_pylist()))
 
 
 def classify(docs: DataFrame, model: Nbsvm | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, score, keep)`` of every document: decision value, and whether it reaches the threshold.
 
-    Defined cases: null, empty and blank texts have no n-gram, score null and are not kept; without a model (labels of
-    one class only, or none) every other text scores null and is kept; a null id stays null; repeated rows give
-    repeated rows; an empty table gives no rows.
+    Defined cases: null, empty and blank texts have no n-gram, score null and are not kept; a text of any length is read
+    whole; without a model (labels of one class only, or none) every other text scores null and is kept; a score at the
+    threshold is kept; a null id stays null and an id that is no integer is a ValueError; repeated rows give repeated
+    rows; an empty table gives no rows; other columns are not read, whatever their names.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -159,11 +191,11 @@ def classify(docs: DataFrame, model: Nbsvm | None, id_col: str = "doc_id", text_
             if own is None:
                 value, keep = pa.nulls(n, pa.float64()), some
             else:
-                got = scores(own.weights, own.bias, doc, slot, n)
+                got = scores(own.ratio, own.weights, own.bias, doc, slot, n)
                 value, keep = pa.array(got, mask=~some), some & (got >= own.threshold)
             yield pa.record_batch([batch.column(0), value, pa.array(keep)], ["doc_id", "score", "keep"])
 
-    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    narrow = docs.select(integer_id(docs, id_col).alias("doc_id"), F.col(text_col).alias("text"))
     return narrow.mapInArrow(judge, "doc_id long, score double, keep boolean")
 
 

@@ -393,15 +393,68 @@ def test_neighbours(spark, clustered):
 # 6
 
 
+def slots_of(texts):
+    doc, slot = quality.ngrams(pa.array(texts))
+    return [slot[doc == i] for i in range(len(texts))]
+
+
 def test_quality_of_held_out_texts(labelled):
-    model = quality.fit(list(zip(labelled.text[:270], labelled.quality[:270])))
+    model = quality.fit(list(zip(slots_of(labelled.text[:270]), labelled.quality[:270])))
     held = labelled[270:]
     doc, slot = quality.ngrams(pa.array(held.text))
-    z = quality.scores(model.weights, model.bias, doc, slot, len(held))
+    z = quality.scores(model.ratio, model.weights, model.bias, doc, slot, len(held))
     good = held.quality.values == 1
     assert np.mean((z >= model.threshold) == good) > 0.9 and np.mean((z >= model.threshold)[good]) > 0.97
 
 
+def test_dual_coordinate_descent_against_subgradient_descent():
+    rng = np.random.default_rng(1)
+    feats = [np.unique(rng.integers(0, 12, 5)) for _ in range(40)]
+    y = np.where([(f < 5).sum() > 2 for f in feats], 1, -1)
+    r, cost = rng.normal(size=12), {1: 0.7, -1: 1.3}
+    x = np.zeros((40, 13))
+    for i, f in enumerate(feats):
+        x[i, f] = r[f] / np.linalg.norm(r[f])
+    x[:, 12] = 1
+    c = np.array([cost[int(v)] for v in y])
+    loss = lambda v: v @ v / 2 + (c * np.maximum(0, 1 - y * (x @ v))).sum()
+    v, best = np.zeros(13), np.inf
+    for t in range(1, 60_000):
+        v = v - (v - (c * y * (y * (x @ v) < 1)) @ x) / t
+        best = min(best, loss(v)) if t > 1000 else best
+    w, b = quality.descend(feats, y, r, cost, 2000, rng)
+    assert loss(np.append(w, b)) == pytest.approx(best, rel=2e-3)  # descent stops at moves of a thousandth
+
+
+def test_quality_is_the_machine_and_its_prior_by_hand(spark):
+    good = [f"the house {w} was quiet" for w in "abcdefghijkl"]
+    bad = [f"click here {w} buy now" for w in "abcdefghijkl"]
+    rows = [(i, t, int(i < 12)) for i, t in enumerate(good + bad)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, q) for i, _, q in rows], "doc_id long, quality int")
+    sample = quality.labelled_sample(docs, labels)
+    assert [q for _, q in sample] == [q for _, _, q in rows]
+    slots = slots_of(good + bad)
+    assert all((a == b).all() for (a, _), b in zip(sample, slots))
+    counts = [Counter(s for f in part for s in f.tolist()) for part in (slots[:12], slots[12:])]
+    every = set(counts[0]) | set(counts[1])
+    p, q = ({s: 1 + n[s] for s in range(1 << quality.BITS)} for n in counts)
+    ratio = {s: math.log(p[s] / sum(p.values()) / (q[s] / sum(q.values()))) for s in every}
+    model = quality.fit(sample)
+    assert all(model.ratio[s] == pytest.approx(r, abs=1e-5) for s, r in ratio.items())
+    want = {}
+    for i, f in enumerate(slots):
+        norm = math.sqrt(sum(ratio[s] ** 2 for s in f.tolist()))
+        want[i] = sum(float(model.weights[s]) * ratio[s] for s in f.tolist()) / norm + model.bias
+    got = {r.doc_id: r for r in quality.classify(docs, model).collect()}
+    assert all(got[i].score == pytest.approx(v, abs=1e-4) and got[i].keep == (v >= model.threshold) for i, v in want.items())
+    assert all((got[i].score > 0) == (i < 12) for i in want)
+    # With the machine's vote taken away, the prior votes as the ratios do.
+    prior = quality.fit(sample, mixed=1.0)
+    votes = prior.weights * prior.ratio
+    assert all((votes[s] > 0) == (r > 0) for s, r in ratio.items() if abs(r) > 0.5)
+
+
 # 7
 
 
@@ -457,17 +510,73 @@ def test_secrets_of_held_out_findings(docs):
     net = secrets.train(findings, labels)
     held, truth = secrets.labelled_findings(contexts, 800, seed=2)
     p = net.probability(np.stack([secrets.windows(*f)[0] for f in held]))
-    assert np.mean(p[truth] >= net.threshold) > 0.95 and np.mean(p[~truth] < net.threshold) > 0.95
+    got = net.secret(p, np.array([secrets.digitless(*f) for f in held]))
+    assert np.mean(got[truth]) > 0.95 and np.mean(~got[~truth]) > 0.95
     real = hit = 0
     for t in docs.text:
         raw = t.encode()
         for s, e in secrets.candidates(raw):
             if raw[max(0, s - 9) : s].lower().endswith((b'token = "', b"password=")):
                 real += 1
-                hit += net.probability(secrets.windows(raw, s, e)).max() >= net.threshold
+                hit += bool(net.secret(net.probability(secrets.windows(raw, s, e)).max(), secrets.digitless(raw, s, e)))
     assert real > 5 and hit == real
 
 
+def test_network_against_loops():
+    rng = np.random.default_rng(4)
+    findings, labels = secrets.labelled_findings([], 40, seed=3)
+    net = secrets.train(findings, labels, epochs=1)
+    x = np.stack([secrets.windows(*f)[0] for f in findings[:6]])
+    places = secrets._LENGTH - secrets.WIDTH + 1
+    z = net.forward(x)[0]
+    for row, got in zip(x.tolist(), z):
+        conv = [[net.offset[f] + sum(net.filters[o][row[t + o]][f] for o in range(secrets.WIDTH)) for f in range(secrets.FILTERS)] for t in range(places)]
+        pooled = [max(0.0, max(conv[t][f] for t in range(a, b))) for a, b in net.pools() for f in range(secrets.FILTERS)]
+        body = row[secrets.LEFT : secrets.LEFT + secrets.BODY]
+        size = sum(v > 0 for v in body) / secrets.BODY
+        digits = sum(v == 64 + 40 for v in body) / secrets.BODY / max(size, 1e-6)
+        hidden = [max(0.0, net.dense_bias[h] + sum(v * net.dense[k][h] for k, v in enumerate([*pooled, size, digits]))) for h in range(secrets.HIDDEN)]
+        assert got == pytest.approx(net.out_bias + sum(v * w for v, w in zip(hidden, net.out)))
+    # The gradient of the log loss, by differences.
+    y = labels[:6].astype(float)
+    loss = lambda: float(np.mean(np.logaddexp(0, net.forward(x)[0]) - y * net.forward(x)[0]))
+    grads = secrets.gradients(net, x, y)
+    for name in ("filters", "offset", "dense", "dense_bias", "out"):
+        weights = getattr(net, name)
+        for at in rng.choice(np.flatnonzero(grads[name].ravel()), 5):
+            i = np.unravel_index(at, weights.shape)
+            was, both = weights[i], []
+            for step in (1e-6, -1e-6):
+                weights[i] = was + step
+                both.append(loss())
+            weights[i] = was
+            assert (both[0] - both[1]) / 2e-6 == pytest.approx(grads[name][i], rel=1e-3, abs=1e-7), name
+
+
+def test_candidates_without_digits():
+    value = "wJalrXUtnFEMIKMDENGbPxRfiCYEXAMPLEKEY"
+    text = f"the aws value {value} and getUserName or Donaudampfschifffahrtsgesellschaft of the house".encode()
+    found = [text[s:e].decode() for s, e in secrets.candidates(text)]
+    assert found == [value, "getUserName", "Donaudampfschifffahrtsgesellschaft"]
+
+
+def test_digitless_secrets_of_held_out_findings(docs):
+    contexts = [t[:400].encode() for t in docs.text[:300]]
+    net = secrets.train(*secrets.labelled_findings(contexts, seed=1))
+    rng = random.Random(2)
+    letters = "".join(chr(c) for c in (*range(65, 91), *range(97, 123)))
+    real = [f"the value {''.join(rng.choice(letters) for _ in range(40))} is".encode() for _ in range(60)]
+    words = [w for t in docs.text[:200] for w in t.split() if w.isascii() and w.isalpha() and w.islower() and len(w) > 3]
+    camel = [f"the value {rng.choice(words)}{''.join(rng.choice(words).title() for _ in range(3))} is".encode() for _ in range(60)]
+
+    def p(texts):
+        spans = [secrets.candidates(t) for t in texts]
+        return np.array([net.probability(secrets.windows(t, *s[0])).max() if s else 0.0 for t, s in zip(texts, spans)])
+
+    # Recall is held first: names of four made-up words in a row are the nearest look-alikes.
+    assert np.mean(net.secret(p(real), True)) > 0.95 and np.mean(net.secret(p(camel), True)) < 0.25
+
+
 def test_windows_cover_long_candidates():
     text = b"key " + bytes(range(48, 58)) * 30 + b" end"
     w = secrets.windows(text, 4, 304)
