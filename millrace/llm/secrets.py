@@ -11,13 +11,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import integer_id, table
 from .textbytes import as_bytes, slices
 
 #: Bound of the corpus texts from which surroundings for the labelled findings are taken, and of the findings.
 CONTEXT_DOCS = 400
 FINDINGS = 6000
-#: Share of the held-out secrets that the threshold must find.
+#: Share of the held-out secrets of either kind, with digits and without, that its threshold must find.
 RECALL = 0.99
 
 LEFT, BODY, RIGHT = 28, 64, 12
@@ -25,13 +25,14 @@ _LENGTH = LEFT + BODY + RIGHT
 _STRIDE = 32
 WIDTH, FILTERS, HIDDEN = 5, 24, 16
 
-#: Values after names that ask for a secret, and runs of token characters with a digit; all are candidates.
+#: Values after names that ask for a secret, and runs of token characters that are no plain word: with a digit, with a
+#: capital after a small letter, or longer than all but a few words. All are candidates.
 KEYED = re.compile(
     rb"(?i)(?:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth|bearer|credential|private[_-]?key)"
     rb"[\w-]{0,40}[\"']?\s{0,8}(?:[:=]|=>|\s)\s{0,8}[\"']?([^\s\"',;<>|]{4,})"
 )
 TOKEN = re.compile(rb"[A-Za-z0-9_+/~-][A-Za-z0-9_+/.~-]{6,}[A-Za-z0-9_+/~-]=*")
-_DIGIT = re.compile(rb"\d")
+_NO_WORD = re.compile(rb"\d|[a-z][A-Z]|[A-Za-z0-9_+/.~=-]{20}")
 
 
 def candidates(text: bytes) -> list[tuple[int, int]]:
@@ -44,11 +45,16 @@ def candidates(text: bytes) -> list[tuple[int, int]]:
         s, e = m.span()
         while j < len(taken) and taken[j][1] <= s:
             j += 1
-        if (j == len(taken) or taken[j][0] >= e) and _DIGIT.search(text, s, e):
+        if (j == len(taken) or taken[j][0] >= e) and _NO_WORD.search(text, s, e):
             out.append((s, e))
     return sorted(set(out))
 
 
+def digitless(text: bytes, start: int, end: int) -> bool:
+    """Whether a candidate has no digit."""
+    return not any(48 <= c <= 57 for c in text[start:end])
+
+
 def _symbols() -> np.ndarray:
     """Byte to one of 64 symbols: letters by themselves and by case, digits, signs one by one or in groups."""
     lut = np.full(256, 62, np.uint8)
@@ -85,7 +91,7 @@ def windows(text: bytes, start: int, end: int) -> np.ndarray:
 
 @dataclass
 class Network:
-    """Filters by offset and symbol, dense layers, calibration of the logit, and the threshold."""
+    """Filters by offset and symbol, dense layers, calibration of the logit, and a threshold for values with and without digits."""
 
     filters: np.ndarray
     offset: np.ndarray
@@ -95,7 +101,11 @@ class Network:
     out_bias: float
     scale: float = 1.0
     shift: float = 0.0
-    threshold: float = 0.5
+    thresholds: tuple[float, float] = (0.5, 0.5)
+
+    def secret(self, p: np.ndarray, digitless: np.ndarray) -> np.ndarray:
+        """Whether candidates of these probabilities, with digits or without, are secrets."""
+        return p >= np.where(digitless, self.thresholds[1], self.thresholds[0])
 
     def pools(self) -> list[tuple[int, int]]:
         return [(0, LEFT), (LEFT, LEFT + BODY - WIDTH + 1), (LEFT + BODY - WIDTH + 1, _LENGTH - WIDTH + 1)]
@@ -134,14 +144,22 @@ def labelled_findings(contexts: list[bytes], n: int = FINDINGS, seed: int = 11)
     def pick(*options):
         return options[rng.integers(len(options))]
 
+    words = sorted({w.decode() for c in contexts for w in re.findall(rb"\b[a-z]{4,12}\b", c)}) or ["value", "user", "name", "index", "other", "count"]
+
+    def word() -> str:
+        return words[rng.integers(len(words))]
+
     def secret() -> tuple[str, str]:
         name = pick("token", "password", "passwd", "secret", "api_key", "apikey", "access_token", "auth_token", "client_secret", "SECRET_KEY", "API_KEY", "private_key", "pwd", "Token", "PASSWORD", "db_password", "AWS_SECRET_ACCESS_KEY")
         notation = pick('{n} = "{v}"', "{n}={v}", "{n}: {v}", "{n} = {v}", '"{n}": "{v}"', "{n}='{v}'", '{n}="{v}"')
-        kind = rng.integers(12)
+        kind = rng.integers(14)
+        if kind > 11:
+            return pick("{v}", "key {v}", "value {v}"), draw(low + up + pick("", "+/"), int(rng.integers(20, 64)))
         if kind < 7:
             value = pick(
                 draw(hexes, 40), draw(hexes, 32), draw(hexes, int(rng.integers(12, 65))), draw(alnum, int(rng.integers(10, 44))),
                 draw(alnum + "+/", 40), draw(alnum + "!#%_-", int(rng.integers(8, 20))), draw(low, 6) + draw(digits, 3), draw(hexes, 18),
+                draw(low + up, int(rng.integers(20, 44))), draw(low + up, int(rng.integers(10, 20))),
             )
             return notation.replace("{n}", name), value
         value = pick(
@@ -163,6 +181,7 @@ def labelled_findings(contexts: list[bytes], n: int = FINDINGS, seed: int = 11)
             ("version {v}", f"v{draw(digits, 1)}.{draw(digits, 2)}.{draw(digits, 1)}-beta"), ("on {v}", f"20{draw(digits, 2)}-0{draw(digits, 1)}-1{draw(digits, 1)}"), ("at {v}", f"20{draw(digits, 2)}-01-02T0{draw(digits, 1)}"),
             ("see https://{v}", draw(low, 7) + ".com/" + draw(low, 5) + "/" + draw(digits, 4)), ("file {v}", "src/" + draw(low, 6) + "/" + draw(low, 5) + draw(digits, 2) + ".py"), ("ISBN {v}", "978-" + draw(digits, 1) + "-" + draw(digits, 4) + "-" + draw(digits, 4)),
             ("order {v}", draw(up, 2) + "-" + draw(digits, 8)), ("{v}", draw(low, int(rng.integers(6, 14))) + draw(digits, int(rng.integers(1, 3)))), ("{v}", draw(up, 3) + draw(digits, 5)), ("total {v}", draw(digits, 8)), ("{v}", draw(low, 4) + "_" + draw(low, 5) + "_" + draw(digits, 1)),
+            ("{v}", word() + "".join(word().title() for _ in range(rng.integers(1, 5)))), ("{v}", "".join(word().title() for _ in range(rng.integers(2, 5)))), ("{v}", (word() + word() + word() + word())[:40]), ("{v}", "/".join(word() for _ in range(rng.integers(3, 6)))), ("{v}", "-".join(word() for _ in range(rng.integers(3, 6)))), ("{v}", "_".join(word() for _ in range(rng.integers(3, 6))).upper()),
             (name + ": {v}", pick("required", "changeme", "none", "null", "true", "false", "hidden", "string", "example", "optional")), (name + " = {v}", pick("None", "null", "os.environ", "getenv", "input()", "config.get", "args.token", "settings")), (name + "={v}", pick("${PASSWORD}", "xxxxxxxx", "********", "<token>", "your_token_here", "placeholder")), ("the " + name + " {v}", pick("that", "field", "must", "which", "should", "is", "reset", "policy", "ring", "economy") + draw(low, int(rng.integers(0, 6)))),
         )
 
@@ -181,11 +200,31 @@ def labelled_findings(contexts: list[bytes], n: int = FINDINGS, seed: int = 11)
     return out, np.array(labels)
 
 
+def gradients(net: Network, x: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+    """Gradient of the mean log loss of some windows by every weight of the network."""
+    z, hidden, features, active, best = net.forward(x)
+    dz = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / len(x)
+    grads = {"out": hidden.T @ dz, "out_bias": np.array([dz.sum()])}
+    dh = np.outer(dz, net.out) * (hidden > 0)
+    grads["dense"], grads["dense_bias"] = features.T @ dh, dh.sum(axis=0)
+    dp = (dh @ net.dense.T)[:, : 3 * FILTERS] * (active > 0)
+    grads["offset"] = dp.reshape(len(x), 3, FILTERS).sum(axis=(0, 1))
+    gf = np.zeros_like(net.filters)
+    columns = np.broadcast_to(np.arange(FILTERS), (len(x), FILTERS))
+    for r in range(3):
+        g = dp[:, r * FILTERS : (r + 1) * FILTERS]
+        for o in range(WIDTH):
+            np.add.at(gf[o], (np.take_along_axis(x, best[r] + o, 1), columns), g)
+    grads["filters"] = gf
+    return grads
+
+
 def train(findings: list[tuple[bytes, int, int]], labels: np.ndarray, epochs: int = 8, seed: int = 5, batch: int = 64) -> Network:
     """Fit the network (Adam on the log loss), calibrate it on held-out findings, and set the threshold.
 
     A third is held out: the logit's scale and shift are those of the logistic regression of its labels (Platt), and
-    the threshold is the largest at which ``RECALL`` of its secrets are found.
+    the threshold of each kind, values with digits and without, is the largest at which ``RECALL`` of its secrets are
+    found; a kind without secrets has 0.5.
     """
     rng = np.random.default_rng(seed)
     x = np.stack([windows(*f)[0] for f in findings])
@@ -205,20 +244,7 @@ def train(findings: list[tuple[bytes, int, int]], labels: np.ndarray, epochs: in
         for at in range(0, len(rows), batch):
             part = order[at : at + batch]
             net.out_bias = float(weights["out_bias"][0])
-            z, hidden, features, active, best = net.forward(x[part])
-            dz = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[part]) / len(part)
-            grads = {"out": hidden.T @ dz, "out_bias": np.array([dz.sum()])}
-            dh = np.outer(dz, net.out) * (hidden > 0)
-            grads["dense"], grads["dense_bias"] = features.T @ dh, dh.sum(axis=0)
-            dp = (dh @ net.dense.T)[:, : 3 * FILTERS] * (active > 0)
-            grads["offset"] = dp.reshape(len(part), 3, FILTERS).sum(axis=(0, 1))
-            gf = np.zeros_like(net.filters)
-            columns = np.broadcast_to(np.arange(FILTERS), (len(part), FILTERS))
-            for r in range(3):
-                g = dp[:, r * FILTERS : (r + 1) * FILTERS]
-                for o in range(WIDTH):
-                    np.add.at(gf[o], (np.take_along_axis(x[part], best[r] + o, 1), columns), g)
-            grads["filters"] = gf
+            grads = gradients(net, x[part], y[part])
             step += 1
             for k, g in grads.items():
                 first[k] += 0.1 * (g - first[k])
@@ -237,8 +263,9 @@ def train(findings: list[tuple[bytes, int, int]], labels: np.ndarray, epochs: in
         if np.abs(d).max() < 1e-6:
             break
     net.scale, net.shift = float(max(a, 1e-3)), float(b)
-    found = np.sort(net.probability(x[held])[t == 1])
-    net.threshold = min(0.5, float(found[int((1 - RECALL) * len(found))]))
+    p, bare = net.probability(x[held]), np.array([digitless(*f) for f in findings])[held]
+    found = [np.sort(p[(t == 1) & (bare == kind)]) for kind in (False, True)]
+    net.thresholds = tuple(float(f[int((1 - RECALL) * len(f))]) if len(f) else 0.5 for f in found)
     return net
 
 
@@ -264,10 +291,13 @@ def scan(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str =
     """``(doc_id, start, length, preview, probability, secret)`` of every candidate of every document.
 
     ``start`` and ``length`` count characters; ``preview`` shows the first four characters only. A candidate is a
-    secret where its calibrated probability (the greatest of its windows) reaches the recall-constrained threshold.
+    secret where its calibrated probability (the greatest of its windows) reaches the recall-constrained threshold of
+    its kind.
 
-    Defined cases: null and empty texts have no candidate and no row; a null id stays null; repeated rows give repeated
-    findings; an empty table gives no rows.
+    Defined cases: null and empty texts have no candidate and no row; a text and a candidate of any length are read
+    whole; a null id stays null and an id that is no integer is a ValueError; a probability at the threshold is a
+    secret; repeated rows give repeated findings; an empty table gives no rows; other columns are not read, whatever
+    their names.
     """
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
@@ -276,13 +306,9 @@ def scan(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str =
         for batch in slices(batches, "text"):
             ids = batch.column(0).to_pylist()
             raw, at = as_bytes(batch.column(1))
-            # Only a digit, or a sign or blank after a name, begins a candidate: texts with neither name nor digit have none.
-            digit = np.concatenate([[0], np.cumsum((raw >= 48) & (raw <= 57))])
-            found, xs, owner = [], [], []
+            found, xs, owner, bare = [], [], [], []
             for i in range(batch.num_rows):
                 text = raw[at[i] : at[i + 1]].tobytes()
-                if digit[at[i + 1]] == digit[at[i]] and not _NAMES.search(text):
-                    continue
                 head, last = 0, 0
                 for s, e in candidates(text):
                     w = windows(text, s, e)
@@ -290,6 +316,7 @@ def scan(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str =
                     value = text[s:e].decode(errors="replace")
                     owner += [len(found)] * len(w)
                     found.append((ids[i], head, len(value), value[:4]))
+                    bare.append(digitless(text, s, e))
                     xs.append(w)
             if not found:
                 continue
@@ -297,17 +324,14 @@ def scan(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str =
             np.maximum.at(p, np.array(owner), own.probability(np.concatenate(xs)))
             columns = [pa.array(c, t) for c, t in zip(zip(*found), (pa.int64(), pa.int32(), pa.int32(), pa.string()))]
             yield pa.record_batch(
-                [*columns, pa.array(p), pa.array(p >= own.threshold)],
+                [*columns, pa.array(p), pa.array(own.secret(p, np.array(bare)))],
                 ["doc_id", "start", "length", "preview", "probability", "secret"],
             )
 
-    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    narrow = docs.select(integer_id(docs, id_col).alias("doc_id"), F.col(text_col).alias("text"))
     return narrow.filter("text IS NOT NULL").mapInArrow(find, _OUT)
 
 
-_NAMES = re.compile(rb"(?i)pass|pwd|secret|token|key|auth|bearer|credential")
-
-
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every candidate of every document with its probability of being a secret."""
     docs = table(spark, sf_dir, "documents")
