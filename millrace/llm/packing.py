@@ -2,20 +2,20 @@
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import integer_id, table
 from .mixing import token_count
 
 CAPACITY = 2048
 PIECES_PER_SHARD = 4096
-NODES = 4000
-FILLINGS = 32
+#: Steps of the search in one shard: sizes tried in fillings, and bins opened. Nothing else bounds the enumeration.
+STEPS = 400_000
 
 
 def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
@@ -35,86 +35,63 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def fillings(sizes: list[int], counts: dict[int, int], space: int, limit: int) -> list[tuple[int, ...]]:
-    """Undominated sets of the remaining ``sizes`` (distinct, descending) that fit into ``space``, fullest first.
+def exact_fillings(ascending: list[int], counts: dict[int, int], space: int, steps: list[int]) -> Iterator[tuple[int, ...]]:
+    """Every choice of the remaining sizes whose sum is ``space``, larger sizes first; ends when ``steps[0]`` is used up."""
+    reach = [0]  # what the sizes before each place sum up to
+    for s in ascending:
+        reach.append(reach[-1] + s * counts[s])
 
-    A filling into which another remaining size still fits, or one of whose sizes can be swapped for a larger
-    remaining one that fits, is dominated. The search stops at ``limit`` of them; sizes are tried largest first.
-    """
-    ascending = sizes[::-1]
-    found: list[tuple[int, ...]] = []
-
-    def undominated(chosen: tuple[int, ...], left: int) -> bool:
-        used = {s: chosen.count(s) for s in set(chosen)}
-        for s in used:
-            at = bisect_left(ascending, s + left + 1) - 1
-            while at >= 0 and ascending[at] > s:
-                if counts[ascending[at]] > used.get(ascending[at], 0):
-                    return False
-                at -= 1
-        for s in ascending:
-            if s > left:
-                break
-            if counts[s] > used.get(s, 0):
-                return False
-        return True
-
-    def grow(chosen: tuple[int, ...], left: int, steps: list[int]) -> None:
-        at = bisect_left(ascending, (chosen[-1] if chosen else space) + 1)
-        at = min(at, bisect_left(ascending, left + 1)) - 1
-        extended = False
-        while at >= 0 and len(found) < limit and steps[0] > 0:
-            s = ascending[at]
+    def grow(at: int, left: int, chosen: tuple[int, ...]) -> Iterator[tuple[int, ...]]:
+        if left == 0:
+            yield chosen
+            return
+        at = min(at, bisect_right(ascending, left))
+        # A level for each distinct size, so the depth is below the square root of twice the space.
+        while at > 0 and reach[at] >= left:
             at -= 1
-            if counts[s] > chosen.count(s):
-                extended = True
+            s = ascending[at]
+            for k in range(min(counts[s], left // s), 0, -1):
+                if steps[0] <= 0:
+                    return
                 steps[0] -= 1
-                grow((*chosen, s), left - s, steps)
-        if not extended and len(found) < limit and undominated(chosen, left):
-            found.append(chosen)
+                yield from grow(at, left - k * s, chosen + (s,) * k)
 
-    grow((), space, [limit * 32])
-    return sorted(set(found), key=lambda f: (-sum(f), f)) or [()]
+    yield from grow(len(ascending), space, ())
 
 
-def perfect(ascending: list[int], counts: dict[int, int], space: int, steps: int) -> tuple[int, ...] | None:
-    """The first set of remaining sizes, largest first, that fills ``space`` exactly; None if none is found in time."""
-    budget = [steps]
-
-    def grow(chosen: tuple[int, ...], left: int) -> tuple[int, ...] | None:
-        if left == 0:
-            return chosen
-        top = min(left, chosen[-1]) if chosen else left
-        at = bisect_left(ascending, top + 1) - 1
-        while at >= 0 and budget[0] > 0:
-            s = ascending[at]
-            at -= 1
-            if counts[s] > chosen.count(s):
-                budget[0] -= 1
-                got = grow((*chosen, s), left - s)
-                if got is not None:
-                    return got
-        return None
+def undominated(filling: tuple[int, ...], ascending: list[int], counts: dict[int, int], waste: int) -> bool:
+    """Whether no remaining size fits into the waste, and none can take the place of a smaller one of the filling."""
+    used: dict[int, int] = {}
+    for s in filling:
+        used[s] = used.get(s, 0) + 1
+    for s in [0, *used]:
+        for t in ascending[bisect_right(ascending, s) : bisect_right(ascending, s + waste)]:
+            if counts[t] > used.get(t, 0):
+                return False
+    return True
 
-    return grow((), space)
 
+def fillings(sizes: list[int], counts: dict[int, int], space: int, slack: int, steps: list[int]) -> Iterator[tuple[int, ...]]:
+    """Every undominated choice of the remaining ``sizes`` (distinct, descending) that wastes at most ``slack`` of ``space``.
 
-def completions(sizes: list[int], counts: dict[int, int], space: int, limit: int) -> Iterator[tuple[int, ...]]:
-    """A perfect filling first, so that no others are enumerated unless the search comes back; then ``fillings``."""
-    exact = perfect(sizes[::-1], counts, space, limit * 32)
-    if exact is not None:
-        yield exact
-    for filling in fillings(sizes, counts, space, limit):
-        if filling != exact:
-            yield filling
+    Fullest first, each found when asked for, so that perfect fillings cost no enumeration of the others.
+    """
+    ascending = sizes[::-1]
+    for waste in range(min(slack, space) + 1):
+        if steps[0] <= 0:
+            return
+        steps[0] -= 1
+        for filling in exact_fillings(ascending, counts, space - waste, steps):
+            if undominated(filling, ascending, counts, waste):
+                yield filling
 
 
-def bin_completion(lengths: list[int], capacity: int = CAPACITY, nodes: int = NODES) -> list[list[int]]:
+def bin_completion(lengths: list[int], capacity: int = CAPACITY, steps: int = STEPS) -> list[list[int]]:
     """Indices of ``lengths`` (each at most ``capacity``) by bin, in as few bins as the search finds.
 
     The incumbent is best-fit decreasing. While it needs more bins than the total length forces, a depth-first search
     fills one bin at a time around the largest remaining length, fullest undominated filling first, and abandons a
-    branch as soon as its waste exceeds what a packing with one bin less could afford. ``nodes`` bounds the search;
+    branch as soon as its waste exceeds what a packing with one bin less could afford. ``steps`` bounds the search;
     the incumbent is always a complete packing.
     """
     best = best_fit(lengths, capacity)
@@ -128,6 +105,7 @@ def bin_completion(lengths: list[int], capacity: int = CAPACITY, nodes: int = NO
     sizes = sorted(counts, reverse=True)
     answer: list[tuple[int, ...]] | None = None
     target = len(best) - 1
+    budget = [steps]
 
     def take(items: tuple[int, ...], by: int) -> None:
         for s in items:
@@ -148,12 +126,13 @@ def bin_completion(lengths: list[int], capacity: int = CAPACITY, nodes: int = NO
             if len(stack) <= bound:
                 break
         elif descend:
-            if nodes <= 0:
+            if budget[0] <= 0:
                 break
-            nodes -= 1
+            budget[0] -= 1
             head = sizes[0]
             take((head,), -1)
-            stack.append([head, completions(sizes, counts, capacity - head, FILLINGS), waste, None])
+            slack = target * capacity - total - waste
+            stack.append([head, fillings(sizes, counts, capacity - head, slack, budget), waste, None])
         if not stack:
             break
         head, rest, before, placed = stack[-1]
@@ -183,7 +162,7 @@ def pack(
     docs: DataFrame,
     capacity: int = CAPACITY,
     pieces_per_shard: int = PIECES_PER_SHARD,
-    nodes: int = NODES,
+    steps: int = STEPS,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
@@ -194,10 +173,12 @@ def pack(
     grows in proportion to the corpus and at most one bin per shard is left unfilled beyond what the lengths force.
     Only ids and token counts are shuffled.
 
-    Defined cases: null and empty texts have no tokens and no row; a null id is packed like any other; repeated rows
-    are packed each; among equal lengths the smaller id comes first; an empty table gives no rows.
+    Defined cases: null and empty texts have no tokens and no row; a text of any length is cut into as many pieces as
+    it needs; a null id is packed like any other and an id that is no integer is a ValueError; repeated rows are packed
+    each; where equal lengths compete for a place the smaller id comes first, and the earlier piece of a document; an
+    empty table gives no rows; other columns are not read, whatever their names.
     """
-    sized = docs.select(F.col(id_col).cast("long").alias("doc_id"), token_count(F.col(text_col)).alias("n_tokens"))
+    sized = docs.select(integer_id(docs, id_col).alias("doc_id"), token_count(F.col(text_col)).alias("n_tokens"))
     shards = docs.select(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / F.lit(pieces_per_shard))).alias("n_shards"))
     sharded = (
         sized.filter("n_tokens > 0")
@@ -213,7 +194,7 @@ def pack(
             for k, start in enumerate(range(0, n, capacity)):
                 pieces.append((doc, k, start, min(capacity, n - start)))
         rows: list[tuple] = []
-        for b, members in enumerate(bin_completion([p[3] for p in pieces], capacity, nodes)):
+        for b, members in enumerate(bin_completion([p[3] for p in pieces], capacity, steps)):
             offset = 0
             for i in members:
                 rows.append((*pieces[i], shard, b, offset))

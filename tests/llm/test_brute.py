@@ -223,13 +223,23 @@ def test_bin_completion_is_optimal_on_small_sets():
         assert len(bins) == least_bins(lengths, 100)
 
 
-def test_fillings_are_undominated():
-    sizes, counts = [9, 7, 5, 4, 2], {9: 1, 7: 1, 5: 2, 4: 1, 2: 1}
-    got = packing.fillings(sizes, counts, 11, 99)
-    assert got[0] == (9, 2) or sum(got[0]) == 11
-    for f in got:
-        left = 11 - sum(f)
-        assert all(counts[s] <= f.count(s) or s > left for s in sizes)
+def test_fillings_are_all_the_undominated_ones():
+    rng = random.Random(6)
+    for _ in range(60):
+        counts = {rng.randint(1, 12): rng.randint(1, 3) for _ in range(rng.randint(1, 6))}
+        sizes, space = sorted(counts, reverse=True), rng.randint(1, 25)
+        slack = rng.randint(0, space)
+        got = list(packing.fillings(sizes, counts, space, slack, [10**6]))
+        want = set()
+        for choice in itertools.product(*[range(counts[s] + 1) for s in sizes]):
+            filling = tuple(s for s, k in zip(sizes, choice) for _ in range(k))
+            waste = space - sum(filling)
+            left = [s for s, k in zip(sizes, choice) if counts[s] > k]
+            if 0 <= waste <= slack and not any(t <= waste or any(s < t <= s + waste for s in filling) for t in left):
+                want.add(filling)
+        assert set(got) == want and len(got) == len(want)
+        assert [sum(f) for f in got] == sorted(map(sum, got), reverse=True)
+    assert len(packing.bin_completion([1] * 3000 + [2] * 3000, 2048)) == 5  # many pieces in a bin
 
 
 def test_every_token_is_packed_once(spark, docs):
