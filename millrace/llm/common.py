@@ -11,8 +11,8 @@ from ..runtime import cut, fresh, shared_folder
 
 __all__ = ["BROADCAST_ROWS", "cut", "discard", "fresh", "integer_id", "matching", "stored", "table"]
 
-#: Most keys (of some 20 bytes) that are broadcast to filter a table of texts; with more, the texts are shuffled.
-BROADCAST_ROWS = 1_000_000
+#: Most keys (some 200 bytes each once hashed) that are broadcast to filter a table of texts; with more, the texts are shuffled.
+BROADCAST_ROWS = 250_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import cut, fresh, matching, table
 
 SEED = 17
 BLOCK_TOKENS = 4096
@@ -33,8 +33,9 @@ def mixing_plan(
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
+    rejected: bool = False,
 ) -> DataFrame:
-    """``(doc_id, source, n_tokens, shard, block)`` of the documents in the selected blocks.
+    """``(doc_id, source, n_tokens, shard, block)`` of the documents in the selected (or, ``rejected``, the other) blocks.
 
     1. Documents are spread over ``ceil(documents / docs_per_shard)`` shards by a seeded hash of their id, so every
        window below sorts a bounded number of narrow rows at any size of the corpus.
@@ -47,8 +48,10 @@ def mixing_plan(
 
     ``weights`` maps sources to weights (others get ``default_weight``; 0 excludes a source). Text never enters a
     shuffle. Defined cases: a null source is a source of its own, sorted first; null or empty texts have 0 tokens and
-    go with the block at their place; rows that repeat an id within a source are one unit with their summed tokens;
-    rows with a null id form one unit per source; an empty table gives an empty plan.
+    go with the block at their place; a text of any length is counted whole and belongs to one block; ids may be of any
+    type that has an order; rows that repeat an id within a source are one unit with their summed tokens; rows with a
+    null id form one unit per source; an empty table gives an empty plan; other columns are not read, whatever their
+    names.
     """
     narrow = docs.select(
         F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), token_count(F.col(text_col)).alias("n_tokens")
@@ -99,15 +102,21 @@ def mixing_plan(
         & (F.col("p.block") == F.col("d.block"))
         & F.col("p.source").eqNullSafe(F.col("d.source"))
     )
-    return placed.alias("p").join(drawn, chosen, "left_semi").select("p.doc_id", "p.source", "p.n_tokens", "p.shard", "p.block")
+    kept = placed.alias("p").join(drawn, chosen, "left_anti" if rejected else "left_semi")
+    return kept.select("p.doc_id", "p.source", "p.n_tokens", "p.shard", "p.block")
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", **params) -> DataFrame:
-    """The rows of ``docs`` (all columns) that the mixing plan selects; see ``mixing_plan`` for the defined cases."""
-    plan = mixing_plan(docs, id_col=id_col, source_col=source_col, **params)
-    plan = plan.select(F.col("doc_id").alias("__mr_id"), F.col("source").alias("__mr_source"))
-    same = F.col(id_col).eqNullSafe(F.col("__mr_id")) & F.col(source_col).eqNullSafe(F.col("__mr_source"))
-    return docs.join(plan.hint("shuffle_hash"), same, "left_semi")
+    """The rows of ``docs`` (all columns, whatever their names) that the mixing plan selects.
+
+    See ``mixing_plan`` for the defined cases. Rows are taken out by the units of the other blocks, the lesser part:
+    texts stay where they are unless these are too many to be broadcast (``common.matching``).
+    """
+    id_, source = fresh(docs, "id", "source")
+    out = mixing_plan(docs, id_col=id_col, source_col=source_col, rejected=True, **params)
+    out = cut(out.select(F.col("doc_id").alias(id_), F.col("source").alias(source)))
+    same = F.col(id_col).eqNullSafe(F.col(id_)) & F.col(source_col).eqNullSafe(F.col(source))
+    return matching(docs, out, same, out.count(), anti=True)
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

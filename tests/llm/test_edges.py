@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from millrace.llm import exact_dedup, language_id, mixing, near_dedup, packing, pii, quality, secrets, topk, toxicity
+from millrace.llm import common, exact_dedup, language_id, mixing, near_dedup, packing, pii, quality, secrets, topk, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 PROSE = {
@@ -39,7 +39,7 @@ AWKWARD = [
     *[(907, "the house and the river with the people", "en", "s1", 1)] * 3,
     (908, "the house and the river with the people", "en", "s1", 1),
 ]
-CLASH = ("score", "keep", "key", "n", "term", "shard", "block", "sig", "rank", "toxic", "quality", "id", "item", "probability", "language", "n_tokens", "row", "hash", "__mr_extra")
+CLASH = ("score", "keep", "key", "n", "term", "shard", "block", "sig", "rank", "toxic", "quality", "id", "item", "probability", "language", "n_tokens", "row", "hash", "__mr_extra", "__mr_hash", "__MR_RANK", "__mr_again", "__mr_others", "__mr_gone", "__mr_id", "__mr_source")
 
 
 def table(spark, rows, clash=False):
@@ -138,6 +138,8 @@ def test_secrets(spark, net):
     assert 900 not in found and 901 not in found
     assert found[950].secret and (found[950].start, found[950].length, found[950].preview) == (11, 40, "04db")
     assert secrets.scan(table(spark, []), net).count() == 0
+    twice = secrets.scan(table(spark, rows + rows), net).collect()
+    assert sorted(map(repr, twice)) == sorted(2 * list(map(repr, plain.collect())))
     assert secrets.train(*secrets.labelled_findings([], 200), epochs=1) is not None
 
 
@@ -147,6 +149,8 @@ def test_packing_defined_results(spark):
     ids = [r.doc_id for r in got]
     assert not {900, 901, 902} & set(ids) and ids.count(907) == 3 and None in ids
     assert sum(r.n_tokens for r in got if r.doc_id == 904) == len(LONG.split())
+    ties = packing.pack(table(spark, [(i, "w " * n, None, None, 0) for i, n in ((5, 700), (3, 700), (9, 700), (1, 700), (2, 1348))])).collect()
+    assert [r.doc_id for r in sorted(ties, key=lambda r: (r.bin, r.bin_offset))] == [2, 1, 3, 5, 9]
 
 
 def test_near_dedup_defined_results(spark):
@@ -197,6 +201,36 @@ def test_topk(spark):
     assert [(r.vec_id, r.neighbor_id) for r in topk.nearest_neighbours(same, k=1).orderBy("vec_id").collect()] == [(0, 1)] + [(i, 0) for i in range(1, 6)]
 
 
+def test_of_rows_that_repeat_id_and_text_the_least_stays(spark):
+    rows = [(1, "a b", "fr", "z", 3), (1, "a b", "en", "z", 4), (1, "a b", "en", "z", 4), (1, "c d", None, None, 1)]
+    for order in (rows, rows[::-1]):
+        got = sorted(map(tuple, exact_dedup.exact_dedup(table(spark, order)).collect()), key=str)
+        assert got == [(1, "a b", "en", "z", 4), (1, "c d", None, None, 1)]
+
+
+@pytest.mark.parametrize("limit", [10**6, -1])
+def test_wide_rows_are_the_same_however_they_are_matched(spark, monkeypatch, limit):
+    monkeypatch.setattr(common, "BROADCAST_ROWS", limit)
+    docs = table(spark, plain_rows() + AWKWARD, True)
+    ids = lambda df: sorted(str(r.doc_id) for r in df.collect())
+    exact, near, mixed = (ids(f(docs)) for f in (exact_dedup.exact_dedup, near_dedup.keep_one_of_each, mixing.mix))
+    assert exact.count("907") == 1 and "908" not in exact and exact.count("None") == 2
+    assert near.count("907") == 3 and "908" not in near and near.count("None") == 2
+    plan = [(r.doc_id, r.source) for r in mixing.mixing_plan(docs).collect()]
+    assert mixed == sorted(str(r.doc_id) for r in docs.collect() if (r.doc_id, r.source) in plan)
+
+
+def test_ids_must_be_integers(spark):
+    docs = spark.createDataFrame([("u1", "some text of words"), ("u2", "some text of words")], "doc_id string, text string").withColumns({c: F.lit("x") for c in ("lang", "source")})
+    for f in (lambda d: language_id.identify(d, None), pii.sanitise, packing.pack, near_dedup.near_duplicates, lambda d: quality.classify(d, None), lambda d: secrets.scan(d, None), lambda d: toxicity.toxicity(d, None)):
+        with pytest.raises(ValueError, match="must hold integers"):
+            f(docs)
+    with pytest.raises(ValueError, match="must hold integers"):
+        topk.nearest_neighbours(spark.createDataFrame([("a", [1.0])], "vec_id string, embedding array<float>"))
+    assert [r.doc_id for r in exact_dedup.exact_dedup(docs).collect()] == ["u1"]
+    assert mixing.mix(docs, budget=1.0).count() == 2
+
+
 @pytest.mark.parametrize("rows", [[], plain_rows() + AWKWARD], ids=["empty", "awkward"])
 @pytest.mark.parametrize("name, stage", corpus_pipeline.STAGES)
 def test_stages(spark, rows, name, stage):
