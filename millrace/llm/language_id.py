@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import integer_id, table
 from .textbytes import as_bytes, letters, runs, slices, span_hashes
 
 #: Bound of the labelled sample: documents of each language, and characters of the span taken at a place in each.
@@ -332,9 +332,11 @@ def identify(
     share of letter trigrams that the training sample had, ``spans`` the runs of words of one language. ``keep`` is
     false where a document has no word or either figure is below its threshold.
 
-    Defined cases: null and empty texts and texts without letters have no language, no words and ``keep`` false; a
-    null id stays null; repeated rows give repeated rows; without a model (no labelled row at all) no language is named
-    and every text with a word is kept; an empty table gives no rows.
+    Defined cases: null and empty texts and texts without letters have no language, no words and ``keep`` false; texts of
+    any length are read whole; equal shares go to the language first by name, and so do equal probabilities of a word; a
+    null id stays null and an id that is no integer is a ValueError; repeated rows give repeated rows; without a model
+    (no labelled row at all) no language is named and every text with a word is kept; an empty table gives no rows;
+    other columns are not read, whatever their names.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -382,7 +384,7 @@ def identify(
                 _NAMES,
             )
 
-    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    narrow = docs.select(integer_id(docs, id_col).alias("doc_id"), F.col(text_col).alias("text"))
     return narrow.mapInArrow(label, _OUT)
 
 
