@@ -2,21 +2,31 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import cut, integer_id, table
 
 K = 10
 PIVOTS = 48
 #: Bound of the sample from which pivots are chosen; any choice gives the same result.
 SAMPLE = 4096
+#: Rows of a block, and of a group of queries that takes candidates in one order.
 BLOCK = 4096
 GROUP = 256
 SLICE = 1024
-_EPS = 1e-9
+#: Most bytes of vectors and pivot distances that are broadcast as candidates; with more, blocks are shuffled to the
+#: queries that need them, which are gathered from up to ``GATHER`` neighbouring blocks so that each moves less often.
+BROADCAST_BYTES = 64 << 20
+GATHER = 16
+#: Bounds are taken for each query, and distances only where they leave it any, if a vector has this many times as many
+#: numbers as there are pivots and a sample finds less than this share left: a bound costs a look at each pivot.
+LONG, LEFT = 16, 0.05
 
 
 def choose_pivots(sample: np.ndarray, pivots: int) -> np.ndarray:
@@ -29,80 +39,140 @@ def choose_pivots(sample: np.ndarray, pivots: int) -> np.ndarray:
     return sample[chosen]
 
 
-def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Euclidean distances of all pairs."""
-    return np.sqrt(np.maximum((x**2).sum(axis=1)[:, None] + (y**2).sum(axis=1)[None] - 2 * (x @ y.T), 0))
+def pivot_distances(x: np.ndarray, points: np.ndarray) -> np.ndarray:
+    """Euclidean distances of rows to pivots, by differences, as single floats (those beyond them as the largest)."""
+    wide = x.astype(np.float64)
+    t = np.stack([np.sqrt(((wide - p) ** 2).sum(axis=1)) for p in points], axis=1)
+    return np.minimum(t, 3e38).astype(np.float32)
+
+
+@dataclass
+class Rows:
+    """Some rows: ids, vectors (single floats), distances to the pivots, squared norms and greatest number."""
+
+    ids: np.ndarray
+    x: np.ndarray
+    t: np.ndarray
+
+    def __post_init__(self) -> None:
+        self.norm = (self.x.astype(np.float64) ** 2).sum(axis=1)
+        # Products of single floats are faster; of numbers whose squares they can't hold, double ones are taken.
+        kind = np.float32 if np.abs(self.x).max(initial=0) < 1e15 else np.float64
+        ones = np.ones(len(self.ids))
+        self.left = np.column_stack([-2.0 * self.x.astype(np.float64), ones, self.norm]).astype(kind)
+        self.right = np.column_stack([self.x, self.norm, ones]).astype(kind)
 
 
 class Nearest:
     """The ``k`` nearest candidates so far of each query of a block, exact and with ties to the smaller id."""
 
-    def __init__(self, ids: np.ndarray, x: np.ndarray, lo: np.ndarray, hi: np.ndarray, k: int) -> None:
-        self.ids, self.x, self.lo, self.hi, self.k = ids, x, lo, hi, k
-        self.norm = (x**2).sum(axis=1)
-        self.d2 = np.full((len(ids), k), np.inf)
-        self.who = np.full((len(ids), k), np.iinfo(np.int64).max)
-        self.begin = np.arange(0, len(ids), GROUP)
+    def __init__(self, rows: Rows, k: int) -> None:
+        self.rows, self.k, self.ids = rows, k, rows.ids
+        self.wide = rows.x.astype(np.float64)
+        self.d2 = np.full((len(rows.ids), k), np.inf)
+        self.who = np.full((len(rows.ids), k), np.iinfo(np.int64).max)
+        self.begin = np.arange(0, len(rows.ids), GROUP)
+        self.lo = np.minimum.reduceat(rows.t, self.begin)
+        self.hi = np.maximum.reduceat(rows.t, self.begin)
+        self.compared = 0
 
     def radius(self) -> np.ndarray:
         """Largest distance to a k-th neighbour in each group of queries."""
         return np.sqrt(np.maximum.reduceat(self.d2[:, -1], self.begin))
 
-    def offer(self, ids: np.ndarray, x: np.ndarray, pivot_table: np.ndarray) -> None:
+    def bounds(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """Least possible distance of each group of queries to anything within these ranges of pivot distances."""
+        gap = np.maximum(self.lo[:, None] - hi[None], lo[None] - self.hi[:, None]).max(axis=2)
+        return np.maximum(gap - slack(self.rows.t, hi), 0)
+
+    def offer(self, other: Rows) -> None:
         """Evaluate a block's candidates against each group of queries, in the order of their lower bounds.
 
         A candidate's bound is the largest gap between its distance to a pivot and the range of the group's distances to
         that pivot. Evaluation stops at the first slice whose bounds all exceed the group's radius.
         """
+        off = slack(self.rows.t, other.t)
         for g, start in enumerate(self.begin):
             rows = np.arange(start, min(start + GROUP, len(self.ids)))
-            gap = np.maximum(self.lo[g][None] - pivot_table, pivot_table - self.hi[g][None])
-            bound = np.maximum(gap.max(axis=1), 0) - _EPS
-            order = np.argsort(bound, kind="stable")
+            reach = np.sqrt(self.d2[rows, -1].max())
+            gap = np.maximum(self.lo[g][None] - other.t, other.t - self.hi[g][None])
+            bound = np.maximum(gap.max(axis=1) - off, 0)
+            order = np.flatnonzero(bound <= reach)
+            order = order[np.argsort(bound[order], kind="stable")]
             for s in range(0, len(order), SLICE):
                 part = order[s : s + SLICE]
-                reach = np.sqrt(self.d2[rows, -1].max())
-                part = part[bound[part] <= reach]
+                part = part[bound[part] <= np.sqrt(self.d2[rows, -1].max())]
                 if not len(part):
                     break
-                self._evaluate(rows, ids[part], x[part])
-
-    def _evaluate(self, rows: np.ndarray, ids: np.ndarray, x: np.ndarray) -> None:
-        near = self.norm[rows][:, None] + (x**2).sum(axis=1)[None] - 2 * (self.x[rows] @ x.T)
-        near[self.ids[rows][:, None] == ids[None]] = np.inf
+                if self.x_long() and self._left(rows[:: max(1, len(rows) // 4)], other, part[:256], off).mean() < LEFT:
+                    q, c = np.nonzero(self._left(rows, other, part, off))
+                    self._take(rows[q], other, part[c])
+                else:
+                    self._product(rows, other, part)
+
+    def x_long(self) -> bool:
+        return self.rows.x.shape[1] >= LONG * self.rows.t.shape[1]
+
+    def _left(self, rows: np.ndarray, other: Rows, part: np.ndarray, off: float) -> np.ndarray:
+        """By query and candidate, whether the query's own greatest bound is within its radius."""
+        bound = np.zeros((len(rows), len(part)))
+        for p in range(self.rows.t.shape[1]):
+            np.maximum(bound, np.abs(self.rows.t[rows, p][:, None] - other.t[part, p][None]), out=bound)
+        return bound - off <= np.sqrt(self.d2[rows, -1])[:, None]
+
+    def _product(self, rows: np.ndarray, other: Rows, part: np.ndarray) -> None:
+        """Compare by a matrix product what may be near, with room for its rounding, and by differences what then is."""
+        near = self.rows.left[rows] @ other.right[part].T  # the norms are factors too: squared distances come out
+        unit = 1.2e-7 if near.dtype == np.float32 else 2.3e-16
+        room = (self.rows.x.shape[1] + 8) * unit * (self.rows.norm[rows] + other.norm[part].max())
         limit = self.d2[rows, -1]
-        if not np.isfinite(limit).all() and near.shape[1] > self.k:
-            limit = np.minimum(limit, np.partition(near, self.k - 1, axis=1)[:, self.k - 1])
-        q, c = np.nonzero((near <= limit[:, None] + _EPS) & np.isfinite(near))
+        if not np.isfinite(limit).all() and near.shape[1] > self.k + 1:
+            # One more than k, as a row may be among its own candidates.
+            limit = np.minimum(limit, np.partition(near, self.k, axis=1)[:, self.k].astype(np.float64) + room)
+        hit = near <= ((limit + room) * (1 + unit)).astype(near.dtype)[:, None]
+        at = np.flatnonzero(hit.ravel())
+        self._take(rows[at // len(part)], other, part[at % len(part)])
+
+    def _take(self, q: np.ndarray, other: Rows, c: np.ndarray) -> None:
+        """Put pairs of queries and candidates among the nearest, if they are."""
+        own = self.ids[q] != other.ids[c]
+        q, c = q[own], c[own]
         if not len(q):
             return
+        self.compared += len(q)
         # Differences are summed in one order whatever the block, so equal vectors are at equal distances.
-        exact = ((self.x[rows[q]] - x[c]) ** 2).sum(axis=1)
-        touched, q = np.unique(q, return_inverse=True)
-        own = rows[touched]
-        owner = np.concatenate([np.repeat(np.arange(len(own)), self.k), q])
-        d2 = np.concatenate([self.d2[own].ravel(), exact])
-        who = np.concatenate([self.who[own].ravel(), ids[c]])
+        exact = ((self.wide[q] - other.x[c].astype(np.float64)) ** 2).sum(axis=1)
+        touched, place = np.unique(q, return_inverse=True)
+        owner = np.concatenate([np.repeat(np.arange(len(touched)), self.k), place])
+        d2 = np.concatenate([self.d2[touched].ravel(), exact])
+        who = np.concatenate([self.who[touched].ravel(), other.ids[c]])
         order = np.lexsort((who, d2, owner))
-        first = np.searchsorted(owner[order], np.arange(len(own)))
+        first = np.searchsorted(owner[order], np.arange(len(touched)))
         best = order[first[:, None] + np.arange(self.k)[None]]
-        self.d2[own], self.who[own] = d2[best], who[best]
+        self.d2[touched], self.who[touched] = d2[best], who[best]
 
+    def result(self) -> pa.RecordBatch:
+        full = np.isfinite(self.d2)
+        rank = np.broadcast_to(np.arange(1, self.k + 1, dtype=np.int32), full.shape)
+        columns = [np.repeat(self.ids, full.sum(axis=1)), rank[full], self.who[full], np.sqrt(self.d2[full])]
+        return pa.record_batch([pa.array(c) for c in columns], ["vec_id", "rank", "neighbor_id", "distance"])
 
-_BLOCK = "block long, n int, ids binary, x binary, pivot_table binary, lo binary, hi binary"
 
+def slack(*tables: np.ndarray) -> float:
+    """What rounding may add to the difference of two of these distances."""
+    return 5e-7 * max(float(t.max(initial=0)) for t in tables)
 
-def _arrays(row: dict, dim: int) -> tuple[np.ndarray, ...]:
-    """The arrays of a block row: ids, vectors, pivot table, and the groups' least and greatest pivot distances."""
-    n = row["n"]
-    x = np.frombuffer(row["x"], np.float32).reshape(n, dim).astype(np.float64)
-    pivot_table = np.frombuffer(row["pivot_table"], np.float32).reshape(n, -1)
-    p = pivot_table.shape[1]
-    lo, hi = (np.frombuffer(row[c], np.float32).reshape(-1, p) for c in ("lo", "hi"))
-    return np.frombuffer(row["ids"], np.int64), x, pivot_table, lo, hi
 
+_OUT = "vec_id long, rank int, neighbor_id long, distance double"
+_BLOCK = "block long, ids binary, x binary, t binary"
 
-def _rows(batches):
+
+def _load(row: dict) -> Rows:
+    ids = np.frombuffer(row["ids"], np.int64)
+    return Rows(ids, *(np.frombuffer(row[c], np.float32).reshape(len(ids), -1) for c in ("x", "t")))
+
+
+def _each(batches):
     for batch in batches:
         for i in range(batch.num_rows):
             yield {name: batch.column(j)[i].as_py() for j, name in enumerate(batch.schema.names)}
@@ -121,46 +191,51 @@ def nearest_neighbours(
     1. Pivots, far apart, are chosen from a bounded sample. Every row's distances to all pivots are computed once and
        rows are range-partitioned by nearest and second nearest pivot, so that blocks of rows lie close together.
     2. Each block searches itself; the radii found bound every later search.
-    3. Blocks are compared by their ranges of pivot distances only. A pair whose lower bound exceeds the radius goes.
-    4. Each block's queries take the remaining blocks in the order of bounds, and in a block the candidates in the
-       order of theirs, and stop where the bound exceeds the radius. Exact: no candidate beyond can be nearer.
-
-    Only surviving pairs of blocks move vectors. Where no pivot separates the rows (uniform data of high dimension)
-    every pair survives and the work is that of comparing all rows with all, in matrix products.
-
-    Defined cases: rows with a null id, a null vector, a vector with null or non-finite values or not of the sample's
-    most frequent dimension have no row and are no neighbour; of rows that repeat an id the smallest vector counts; ties
-    go to the smaller id; fewer than ``k`` other rows give fewer neighbours; an empty table gives no rows.
+    3. It then takes other blocks in the order of the bounds that their ranges of pivot distances give, and in a block
+       the candidates in the order of theirs, and stops where a bound exceeds the radius. Exact: no candidate beyond can
+       be nearer.
+
+    Candidates of up to ``BROADCAST_BYTES`` are broadcast, so that nothing is shuffled for the search. With more, blocks
+    go to the gathered queries whose bounds do not exclude them. Where no pivot separates the rows (uniform data of high
+    dimension) nothing is excluded and the work is that of comparing all rows with all, in matrix products. Tables in
+    between are checkpointed in the shared folder.
+
+    Defined cases: rows with a null or non-finite value, an empty or null vector or a null id have no row and are no
+    neighbour; vectors are compared with those of their own dimension, each dimension being searched by itself; of rows
+    that repeat an id the smallest vector counts, vectors of any finite size do; an id that is no integer is a
+    ValueError; ties go to the smaller id; fewer than ``k`` other rows give fewer neighbours; an empty table gives no
+    rows; other columns are not read, whatever their names.
     """
     spark = vectors.sparkSession
-    schema = "vec_id long, rank int, neighbor_id long, distance double"
-    named = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<float>").alias("x"))
-    sound = named.filter(
-        "id IS NOT NULL AND x IS NOT NULL AND size(x) > 0 AND forall(x, v -> v IS NOT NULL AND abs(v) < 1e18)"
-    )
-    sound = sound.groupBy("id").agg(F.min("x").alias("x"))
-    drawn = [r.x for r in sound.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect()]
-    if not drawn:
-        return spark.createDataFrame([], schema)
-    sizes = [len(v) for v in drawn]
-    dim = max(sorted(set(sizes)), key=sizes.count)
-    points = choose_pivots(np.array([v for v in drawn if len(v) == dim]), pivots)
+    named = vectors.select(integer_id(vectors, id_col).alias("id"), F.col(vector_col).cast("array<float>").alias("x"))
+    finite = "forall(x, v -> v IS NOT NULL AND abs(v) < float('Infinity'))"
+    sound = named.filter(f"id IS NOT NULL AND x IS NOT NULL AND size(x) > 0 AND {finite}")
+    sound = cut(sound.groupBy("id").agg(F.min("x").alias("x")))
+    sizes = sound.groupBy(F.size("x").alias("dim")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").orderBy("dim").collect()
+    found = [_search(sound.filter(F.size("x") == r.dim), r.dim, r.n, k, pivots, block) for r in sizes]
+    return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], _OUT)
+
+
+def _search(sound: DataFrame, dim: int, n: int, k: int, pivots: int, block: int) -> DataFrame:
+    """``nearest_neighbours`` among ``n`` rows ``(id, x)`` of one dimension."""
+    spark = sound.sparkSession
+    drawn = sound.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("x").toArrow().column(0).combine_chunks()
+    points = choose_pivots(drawn.flatten().to_numpy().reshape(-1, dim).astype(np.float64), pivots)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # Smaller blocks where there would be fewer than four for each task.
+    rows_of = min(block, max(GROUP, -(-n // (4 * parts))))
 
     def assign(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = batch.column(1).flatten().to_numpy().reshape(-1, dim).astype(np.float64)
-            t = distances(x, points)
+            x = batch.column(1).flatten().to_numpy().reshape(-1, dim)
+            t = pivot_distances(x, points)
             order = np.argsort(t, axis=1, kind="stable")[:, :2]
-            first, second = order[:, 0], order[:, -1]
-            columns = [batch.column(0), batch.column(1), pa.array(first), pa.array(second), pa.array(t.min(axis=1))]
+            columns = [batch.column(0), batch.column(1), *map(pa.array, (order[:, 0], order[:, -1], t.min(axis=1)))]
             yield pa.record_batch(columns, ["id", "x", "first", "second", "d"])
 
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    placed = sound.filter(F.size("x") == dim).mapInArrow(
-        assign, "id long, x array<float>, first long, second long, d double"
-    )
+    placed = sound.mapInArrow(assign, "id long, x array<float>, first long, second long, d float")
     placed = placed.repartitionByRange(parts, "first", "second", "d", "id").sortWithinPartitions("first", "second", "d", "id")
 
     def build(batches):
@@ -171,95 +246,131 @@ def nearest_neighbours(
 
         def emit(i: np.ndarray, x: np.ndarray):
             nonlocal count
-            t = distances(x.astype(np.float64), points).astype(np.float32)
-            begin = np.arange(0, len(i), GROUP)
-            lo, hi = np.minimum.reduceat(t, begin), np.maximum.reduceat(t, begin)
-            # Half a unit in the last place of a stored distance must not shrink a range.
-            lo, hi = lo - np.float32(1e-6) * (1 + np.abs(lo)), hi + np.float32(1e-6) * (1 + np.abs(hi))
-            cells = [task * (1 << 32) + count, len(i), i.tobytes(), x.tobytes(), t.tobytes(), lo.tobytes(), hi.tobytes()]
+            cells = [task * (1 << 32) + count, i.tobytes(), x.tobytes(), pivot_distances(x, points).tobytes()]
             count += 1
-            kinds = [pa.int64(), pa.int32()] + [pa.binary()] * 5
-            names = ["block", "n", "ids", "x", "pivot_table", "lo", "hi"]
-            return pa.record_batch([pa.array([c], kind) for c, kind in zip(cells, kinds)], names)
+            names = ["block", "ids", "x", "t"]
+            return pa.record_batch([pa.array([c], pa.binary() if n_ else pa.int64()) for n_, c in enumerate(cells)], names)
 
         for batch in batches:
             if not batch.num_rows:
                 continue
             ids.append(batch.column(0).to_numpy())
-            xs.append(batch.column(1).flatten().to_numpy().reshape(-1, dim).astype(np.float32))
+            xs.append(batch.column(1).flatten().to_numpy().reshape(-1, dim))
             held += batch.num_rows
-            while held >= block:
+            while held >= rows_of:
                 i, x = np.concatenate(ids), np.concatenate(xs)
-                yield emit(i[:block], x[:block])
-                ids, xs, held = [i[block:]], [x[block:]], held - block
+                yield emit(i[:rows_of], x[:rows_of])
+                ids, xs, held = [i[rows_of:]], [x[rows_of:]], held - rows_of
         if held:
             yield emit(np.concatenate(ids), np.concatenate(xs))
 
-    blocks, _ = stored(placed.mapInArrow(build, _BLOCK))
+    blocks = cut(placed.mapInArrow(build, _BLOCK))
+    if n * (8 + 4 * dim + 4 * len(points)) <= BROADCAST_BYTES:
+        return _search_broadcast(blocks, k)
+    return _search_shuffled(blocks, k, max(1, min(GATHER, n // (rows_of * 2 * parts))))
+
+
+def _search_broadcast(blocks: DataFrame, k: int) -> DataFrame:
+    """Each task takes its blocks of queries through all blocks, which every executor holds."""
+    held = {r["block"]: r for r in _each(blocks.toArrow().to_batches())}
+    shared = blocks.sparkSession.sparkContext.broadcast(held)
+
+    def search(batches):
+        every = {name: _load(r) for name, r in shared.value.items()}
+        names = list(every)
+        lo = np.array([r.t.min(axis=0) for r in every.values()])
+        hi = np.array([r.t.max(axis=0) for r in every.values()])
+        for batch in batches:
+            for name in batch.column(0).to_pylist():
+                state = Nearest(every[name], k)
+                state.offer(every[name])
+                bound = state.bounds(lo, hi)
+                for i in np.argsort(bound.min(axis=0), kind="stable").tolist():
+                    if names[i] != name and (bound[:, i] <= state.radius()).any():
+                        state.offer(every[names[i]])
+                yield state.result()
+
+    parts = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return blocks.select("block").repartition(parts, "block").mapInArrow(search, _OUT)
+
+
+def _search_shuffled(blocks: DataFrame, k: int, gather: int) -> DataFrame:
+    """Neighbouring blocks are gathered as queries of one task, to which the blocks that they cannot exclude are sent."""
+    parts = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    team = F.shiftleft(F.shiftright("block", 32), 32) + F.floor((F.col("block") % F.lit(1 << 32)) / gather).cast("long")
 
     def own(batches):
-        for row in _rows(batches):
-            ids, x, pivot_table, lo, hi = _arrays(row, dim)
-            search = Nearest(ids, x, lo, hi, k)
-            search.offer(ids, x, pivot_table)
-            cells = [row["block"], len(lo), row["lo"], row["hi"], search.radius().astype(np.float64).tobytes()]
-            kinds = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
-            yield pa.record_batch([pa.array([c], t) for c, t in zip(cells, kinds)], ["block", "groups", "lo", "hi", "radius"])
-
-    ranges, _ = stored(blocks.mapInArrow(own, "block long, groups int, lo binary, hi binary, radius binary"))
+        for row in _each(batches):
+            state = Nearest(_load(row), k)
+            state.offer(state.rows)
+            cells = [row["block"], row["team"], *(v.tobytes() for v in (state.lo, state.hi, state.radius()))]
+            kinds = [pa.int64()] * 2 + [pa.binary()] * 3
+            yield pa.record_batch([pa.array([c], t) for c, t in zip(cells, kinds)], ["block", "team", "lo", "hi", "radius"])
+
+    ranges = cut(blocks.withColumn("team", team).mapInArrow(own, "block long, team long, lo binary, hi binary, radius binary"))
     # Ranges are compared in packs of blocks, so that the pairs of packs, not of blocks, are rows.
-    packs = ranges.groupBy(F.pmod(F.xxhash64("block"), F.lit(max(1, parts))).alias("pack")).agg(
-        F.collect_list(F.struct("block", "lo", "hi", "radius")).alias("of")
-    )
-    width = len(points)
+    pack = F.pmod(F.xxhash64("team"), F.lit(max(1, parts))).alias("pack")
+    packs = ranges.groupBy(pack).agg(F.collect_list(F.struct("block", "team", "lo", "hi", "radius")).alias("of"))
 
     def compare(batches):
-        def unpack(items, column):
-            return [np.frombuffer(i[column], np.float32).reshape(-1, width) for i in items]
-
-        for row in _rows(batches):
-            lo_b = np.array([b.min(axis=0) for b in unpack(row["b"], "lo")])
-            hi_b = np.array([b.max(axis=0) for b in unpack(row["b"], "hi")])
-            names_b = np.array([i["block"] for i in row["b"]])
-            out_q, out_b, out_bound = [], [], []
-            for q, lo, hi in zip(row["a"], unpack(row["a"], "lo"), unpack(row["a"], "hi")):
-                radius = np.frombuffer(q["radius"], np.float64)
+        for row in _each(batches):
+            width = len(row["b"][0]["lo"]) // 4 // (len(row["b"][0]["radius"]) // 8)
+            unpack = lambda items, c, w: [np.frombuffer(i[c], np.float32).reshape(-1, w) for i in items]
+            lo_b = np.array([v.min(axis=0) for v in unpack(row["b"], "lo", width)])
+            hi_b = np.array([v.max(axis=0) for v in unpack(row["b"], "hi", width)])
+            least: dict[int, np.ndarray] = {}
+            for q, lo, hi in zip(row["a"], unpack(row["a"], "lo", width), unpack(row["a"], "hi", width)):
                 gap = np.maximum(lo[:, None] - hi_b[None], lo_b[None] - hi[:, None]).max(axis=2)
-                bound = np.maximum(gap, 0).astype(np.float64) - _EPS
-                alive = np.flatnonzero((bound <= radius[:, None]).any(axis=0) | (names_b == q["block"]))
-                out_q.append(np.full(len(alive), q["block"]))
-                out_b.append(names_b[alive])
-                out_bound.append(np.where(names_b[alive] == q["block"], -1.0, bound.min(axis=0)[alive]))
-            yield pa.record_batch(
-                [pa.array(np.concatenate(c)) for c in (out_q, out_b, out_bound)], ["q", "block", "bound"]
-            )
+                bound = np.maximum(gap - slack(hi, hi_b), 0)
+                radius = np.frombuffer(q["radius"], np.float64)
+                bound = np.where((bound <= radius[:, None]).any(axis=0), bound.min(axis=0), np.inf)
+                least[q["team"]] = np.minimum(least.get(q["team"], np.inf), bound)
+            rows = []
+            for name, bound in least.items():
+                member = np.array([i["team"] == name for i in row["b"]])
+                bound = np.where(member, -1.0, bound)
+                rows += [(name, row["b"][i]["block"], float(bound[i])) for i in np.flatnonzero(np.isfinite(bound))]
+            if rows:
+                yield pa.record_batch([pa.array(c) for c in zip(*rows)], ["team", "block", "bound"])
 
     sides = packs.select(F.col("of").alias("a")).crossJoin(packs.select(F.col("of").alias("b")))
-    pairs = sides.mapInArrow(compare, "q long, block long, bound double")
-    streams = pairs.join(blocks, "block").repartition(parts, "q").sortWithinPartitions("q", "bound", "block")
+    pairs = sides.mapInArrow(compare, "team long, block long, bound double")
+    streams = pairs.join(blocks, "block").repartition(parts, "team").sortWithinPartitions("team", "bound", "block")
 
     def search(batches):
-        state, name = None, None
-        for row in _rows(batches):
-            ids, x, pivot_table, lo, hi = _arrays(row, dim)
-            if row["q"] != name:
-                if state is not None:
-                    yield from _emit(state)
-                # A block's own row comes first.
-                state, name = Nearest(ids, x, lo, hi, k), row["q"]
-            elif row["bound"] > state.radius().max():
+        name, members, met = None, [], False
+
+        def meet() -> None:
+            """Each block of queries takes itself and then its neighbours."""
+            for state in members:
+                state.offer(state.rows)
+            for state in members:
+                for other in members:
+                    if other is not state:
+                        state.offer(other.rows)
+
+        for row in _each(batches):
+            if row["team"] != name:
+                if members and not met:
+                    meet()
+                yield from (state.result() for state in members)
+                name, members, met = row["team"], [], False
+            rows = _load(row)
+            if row["bound"] < 0:  # the team's own blocks come first
+                members.append(Nearest(rows, k))
                 continue
-            state.offer(ids, x, pivot_table)
-        if state is not None:
-            yield from _emit(state)
-
-    def _emit(state: Nearest):
-        full = np.isfinite(state.d2)
-        rank = np.broadcast_to(np.arange(1, k + 1, dtype=np.int32), full.shape)
-        columns = [np.repeat(state.ids, full.sum(axis=1)), rank[full], state.who[full], np.sqrt(state.d2[full])]
-        yield pa.record_batch([pa.array(c) for c in columns], ["vec_id", "rank", "neighbor_id", "distance"])
-
-    return streams.mapInArrow(search, schema)
+            if not met:
+                meet()
+                met = True
+            lo, hi = rows.t.min(axis=0)[None], rows.t.max(axis=0)[None]
+            for state in members:
+                if (state.bounds(lo, hi)[:, 0] <= state.radius()).any():
+                    state.offer(rows)
+        if members and not met:
+            meet()
+        yield from (state.result() for state in members)
+
+    return streams.mapInArrow(search, _OUT)
 
 
 def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

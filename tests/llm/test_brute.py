@@ -386,18 +386,57 @@ def test_parted_words_against_brute_force(hiding):
 # 5
 
 
-@pytest.mark.parametrize("clustered", [True, False])
-def test_neighbours(spark, clustered):
+def nearest(x, k):
+    d = np.sqrt(((x[:, None].astype(float) - x[None]) ** 2).sum(axis=2))
+    np.fill_diagonal(d, np.inf)
+    want = np.lexsort((np.broadcast_to(np.arange(len(x)), d.shape), d))[:, :k]
+    return want, np.take_along_axis(d, want, 1)
+
+
+@pytest.mark.parametrize("limit", [topk.BROADCAST_BYTES, -1])
+@pytest.mark.parametrize("centres, dim", [(8, 6), (0, 6), (3, 100)])
+def test_neighbours(spark, monkeypatch, limit, centres, dim):
+    monkeypatch.setattr(topk, "BROADCAST_BYTES", limit)
+    monkeypatch.setattr(topk, "GROUP", 16)
     rng = np.random.default_rng(6)
-    centres = rng.normal(size=(8, 6)) * (10 if clustered else 0)
-    x = (centres[rng.integers(0, 8, 400)] + rng.normal(size=(400, 6))).astype(np.float32)
+    x = rng.normal(size=(400, dim))
+    if centres:
+        x = x + (rng.normal(size=(centres, dim)) * 10)[rng.integers(0, centres, 400)]
+    x = x.astype(np.float32)
+    x[7] = x[9] = x[3]  # ties
     df = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<float>")
     got = topk.nearest_neighbours(df, k=5, pivots=6, block=32).toPandas().sort_values(["vec_id", "rank"])
-    d = np.sqrt(((x[:, None].astype(float) - x[None]) ** 2).sum(axis=2))
-    np.fill_diagonal(d, np.inf)
-    want = np.lexsort((np.broadcast_to(np.arange(400), d.shape), d))[:, :5]
+    want, d = nearest(x, 5)
     assert (got.neighbor_id.values.reshape(400, 5) == want).all()
-    assert np.allclose(got.distance.values.reshape(400, 5), np.take_along_axis(d, want, 1))
+    assert np.allclose(got.distance.values.reshape(400, 5), d)
+
+
+@pytest.mark.parametrize("limit", [topk.BROADCAST_BYTES, -1])
+def test_neighbours_of_huge_vectors_and_other_dimensions(spark, monkeypatch, limit):
+    monkeypatch.setattr(topk, "BROADCAST_BYTES", limit)
+    rng = np.random.default_rng(7)
+    three, two = (rng.normal(size=(30, 3)) * 1e19).astype(np.float32), rng.normal(size=(25, 2)).astype(np.float32)
+    rows = [(i, v.tolist()) for i, v in enumerate(three)] + [(100 + i, v.tolist()) for i, v in enumerate(two)] + [(200, [1.0])]
+    got = topk.nearest_neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), k=4, pivots=5, block=8).toPandas()
+    got = got.sort_values(["vec_id", "rank"])
+    for base, x in ((0, three), (100, two)):
+        part = got[(got.vec_id >= base) & (got.vec_id < base + 100)]
+        want, d = nearest(x, 4)
+        assert (part.neighbor_id.values.reshape(-1, 4) - base == want).all() and np.allclose(part.distance.values.reshape(-1, 4), d)
+    assert len(got) == 4 * 55
+
+
+def test_bounds_of_each_query_exclude_candidates():
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(12, 200)) * 10
+    x = (centres[np.arange(600) % 12] + rng.normal(size=(600, 200)) * 0.1).astype(np.float32)
+    rows = topk.Rows(np.arange(600), x, topk.pivot_distances(x, topk.choose_pivots(x[:100].astype(float), 12)))
+    state = topk.Nearest(rows, 5)
+    state.offer(rows)
+    assert (state.who == nearest(x, 5)[0]).all()
+    state.compared = 0
+    state.offer(rows)  # the radii are known now
+    assert state.x_long() and state.compared < 600 * 600 * 0.1
 
 
 # 6
