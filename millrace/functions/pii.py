@@ -7,23 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..contract import MASK_CARD, MASK_PHONE, MASK_SSN
+from ..contract import PII_CANDIDATE as CANDIDATE
+from ..contract import PII_PATTERNS as PATTERNS
 from .text import bound
 
-_GAP = r"[\s-]?"
-_OCTET = r"(?:1\d\d|2[0-4]\d|25[0-5]|[1-9]?\d)"
-#: (kind, class named in the replacement, pattern), in the order of application: a later pattern sees earlier results.
-PATTERNS: list[tuple[str, str, str]] = [
-    ("email", "EMAIL", r"(?i)\b[a-z\d._%+\-]+@[a-z\d.\-]+\.[a-z]{2,}\b"),
-    ("url", "URL", r"(?i)https?://\S+"),
-    ("url", "URL", r"(?i)www\.\S+"),
-    ("phone", "PHONE", r"\b\d{3}[\s.-]?" r"\d{3}[\s.-]?" r"\d{4}\b"),
-    ("phone", "PHONE", r"\+\d{1,3}" + _GAP + r"\(?\d{1,4}\)?" + _GAP + r"\d{1,4}" + _GAP + r"\d{1,9}\b"),
-    ("card", "CARD", r"\b\d{4}" + 3 * r"[ \-]?\d{4}" + r"\b"),
-    ("ip", "IP", r"\b" + r"\.".join([_OCTET] * 4) + r"\b"),
-    ("ssn", "SSN", r"\b\d\d\d-\d\d-\d{4}\b"),
-]
-CANDIDATE = r"(?i)[@\d+]|http|www\."
-
 
 def replace_each(text: Column, pattern: str, new: Callable[[Column], Column]) -> Column:
     """``text`` with every match of ``pattern`` replaced by a function of the match."""
@@ -38,7 +26,7 @@ def replace_each(text: Column, pattern: str, new: Callable[[Column], Column]) ->
 
 
 def _last_four(match: Column) -> Column:
-    digits = F.regexp_replace(match, r"\D", "")
+    digits = F.regexp_replace(match, "[^0-9]", "")
     return F.when(F.length(digits) >= 4, F.right(digits, F.lit(4))).otherwise(F.lit("****"))
 
 
@@ -52,10 +40,10 @@ def _mask_email(match: Column) -> Column:
 #: By kind, the partial mask of a match; kinds without one are always replaced whole.
 MASKS: dict[str, Callable[[Column], Column]] = {
     "email": _mask_email,
-    "phone": lambda m: F.concat(F.lit("***-***-"), _last_four(m)),
-    "card": lambda m: F.concat(F.lit(3 * "****-"), _last_four(m)),
+    "phone": lambda m: F.concat(F.lit(MASK_PHONE), _last_four(m)),
+    "card": lambda m: F.concat(F.lit(MASK_CARD), _last_four(m)),
     "ip": lambda m: F.concat(F.substring_index(m, ".", 2), F.lit(".***.***")),
-    "ssn": lambda m: F.concat(F.lit("***-**-"), _last_four(m)),
+    "ssn": lambda m: F.concat(F.lit(MASK_SSN), _last_four(m)),
 }
 
 

@@ -5,27 +5,33 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 #: A word as Unicode sees it; unlike ``\\w`` it means the same to every regular-expression engine in use here.
 WORD = r"[\p{L}\p{N}_]+"
-_NON_ASCII = r"[^\x00-\x7F]"
-_CONTROL = r"[\x7F-\x9F\x00-\x1F]"
+#: What NFKC may change. ASCII, the composed letters of Latin-1 and Latin Extended-A that have no compatibility form,
+#: and plain dashes and quotation marks never change, nor do they join with one another.
+_CHANGEABLE = (
+    r"[^\x00-\x7F\x{C0}-\x{131}\x{134}-\x{13E}\x{141}-\x{148}\x{14A}-\x{17E}\x{2013}\x{2014}\x{2018}-\x{201E}]"
+)
 _SPACES = r"[\s\p{Z}]+"
+#: Control characters become spaces before runs of these become one, so both go in one pass.
+_BLANKS = r"[\s\p{Z}\x00-\x1F\x7F-\x9F]+"
 
 
-@F.pandas_udf(StringType())
-def _nfkc(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
+@F.arrow_udf(StringType())
+def _nfkc(texts: pa.Array) -> pa.Array:
+    # Not by pyarrow's own kernel, whose composed forms come out decomposed.
+    return pa.array([None if t is None else unicodedata.normalize("NFKC", t) for t in texts.to_pylist()], pa.string())
 
 
 def nfkc(text: Column) -> Column:
-    """NFKC form. ASCII texts, which it never changes, reach Python as nulls of no length."""
-    foreign = text.rlike(_NON_ASCII)
-    return F.when(foreign, _nfkc(F.when(foreign, text))).otherwise(text)
+    """NFKC form. Texts of characters that it never changes reach Python as nulls of no length."""
+    open_ = text.rlike(_CHANGEABLE)
+    return F.when(open_, _nfkc(F.when(open_, text))).otherwise(text)
 
 
 def strip_html(text: Column) -> Column:
@@ -42,7 +48,7 @@ def clean_text(text: Column, html: bool = True, normalise: bool = True) -> Colum
     """NFKC, then tags, control characters and white space to single spaces."""
     text = nfkc(text) if normalise else text
     text = strip_html(text) if html else text
-    return collapse(F.regexp_replace(text, _CONTROL, " "))
+    return F.trim(F.regexp_replace(text, _BLANKS, " "))
 
 
 def words(text: Column) -> Column:
@@ -63,16 +69,18 @@ def record_hash(fields: dict[str, Column], normalise: bool = True) -> Column:
     parts = []
     for name in sorted(fields):
         value = fold(fields[name]) if normalise else fields[name]
-        shown = F.when(value.isNull(), F.lit("null")).otherwise(
-            F.regexp_extract(F.to_json(F.struct(value.alias("v"))), r'(?s)^\{"v":(.*)\}$', 1)
-        )
+        # The string as JSON, without the object {"v": ... } around it.
+        bare = bound(F.to_json(F.struct(value.alias("v"))), lambda j: F.substring(j, F.lit(6), F.length(j) - 6))
+        shown = F.when(value.isNull(), F.lit("null")).otherwise(bare)
         parts.append(F.concat(F.to_json(F.array(F.lit(name))).substr(2, len(name) + 2), F.lit(":"), shown))
     return F.sha2(F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}")), 256)
 
 
 def content_hash(instruction: Column, output: Column) -> Column:
-    """SHA-256 of both texts, as they are, joined by three bars."""
-    return F.sha2(F.concat_ws("|||", instruction, output), 256)
+    """SHA-256 of both texts, as they are, joined by three bars; a null is no text and differs from every one."""
+    one = lambda text: F.coalesce(F.sha2(text, 256), F.lit("null"))
+    with_null = F.sha2(F.concat_ws("|||", one(instruction), one(output)), 256)
+    return F.coalesce(F.sha2(F.concat(instruction, F.lit("|||"), output), 256), with_null)
 
 
 def bound(value: Column, body: Callable[[Column], Column]) -> Column:

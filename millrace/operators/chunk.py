@@ -6,10 +6,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-CHUNK_SIZE = 800
-OVERLAP = 100
+from ..contract import CHUNK_SIZE, OVERLAP
+
 #: White space after a sentence's end and before a capital letter (Latin, with its supplements and extensions).
-SENTENCE = r"(?<=[?!.])\s+(?=[\x{C0}-\x{24F}A-Z])"
+SENTENCE = r"(?<=[.!?])\s+(?=[A-Z\x{C0}-\x{24F}])"
 PARAGRAPH = r"\n\s*\n"
 _STRIP = r"^[\s\p{Z}]+|[\s\p{Z}]+$"
 

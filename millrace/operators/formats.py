@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SYSTEM = "You are a helpful assistant."
+from ..contract import REQUIRED, ROLES, SYSTEM
 
 
 def _message(role: str, content: Column, names: tuple[str, str] = ("role", "content")) -> Column:
@@ -39,9 +39,6 @@ def openai() -> list[Column]:
 
 
 FORMATS: dict[str, Callable[[], list[Column]]] = {"alpaca": alpaca, "sharegpt": sharegpt, "chatml": chatml, "openai": openai}
-#: Fields that must be present in each format when it is sanitised.
-REQUIRED = dict(openai=["messages"], chatml=["messages"], sharegpt=["conversations"], alpaca=["instruction", "output"])
-_ROLES = {r: r for r in ("system", "assistant", "user")} | dict(gpt="assistant", human="user")
 
 
 def check_format(name: str) -> None:
@@ -58,7 +55,7 @@ def convert(records: DataFrame, name: str, keep: list[str] | None = None) -> Dat
 
 def preview_role(role: Column) -> Column:
     """The role under which a preview shows a turn; unknown ones are the user's."""
-    pairs = F.create_map(*[F.lit(x) for pair in _ROLES.items() for x in pair])
+    pairs = F.create_map(*[F.lit(x) for pair in ROLES.items() for x in pair])
     return F.coalesce(F.try_element_at(pairs, F.lower(role)), F.lit("user"))
 
 

@@ -7,12 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-PROMPT = "Explain the following concept " "from the document clearly and completely:\n\n"
-#: A file name that may be read: letters, digits, and a few signs.
-SAFE_NAME = r"^[\p{L}\p{N}_\-. ]+$"
-MAX_UPLOAD_BYTES = 50 * 1024 * 1024
-WARN_UPLOAD_BYTES = 10 * 1024 * 1024
-MAX_SOURCE_BYTES = 100 * 1024 * 1024
+from ..contract import MAX_UPLOAD_BYTES, PROMPT, SAFE_NAME, WARN_UPLOAD_BYTES
 
 
 def rename_outputs(rows: DataFrame, min_length: int = 100) -> DataFrame:

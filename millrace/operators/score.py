@@ -5,13 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: (grade, least records, least average output length, least share of distinct instructions), best first.
-GRADES = [("SUPER", 100, 300, 0.95), ("GOOD", 50, 200, 0.85), ("NORMAL", 20, 100, 0.70)]
-PRICES = dict(
-    [("gpt-4o", 8.0), ("gpt-4o-mini", 0.5), ("gpt-4.1", 6.5), ("gpt-4.1-mini", 0.35), ("gpt-3.5-turbo", 1.0)]
-)
-DEFAULT_PRICE = 8.0
-EVOLUTIONS = dict(fast=1, balanced=2, research=3)
+from ..contract import DEFAULT_PRICE, EMPTY_DATASET, EVOLUTIONS, GRADES, PRICES, SAME_INSTRUCTIONS, SHORT_OUTPUTS
 
 
 def score(records: DataFrame) -> DataFrame:
@@ -30,11 +24,8 @@ def score(records: DataFrame) -> DataFrame:
     for name, records_, length, unique in GRADES:
         passed = (F.col("record_count") >= records_) & (F.col("avg_output_length") >= length) & (F.col("unique_ratio") >= unique)
         grade = grade.when(passed, name)
-    short = F.when(F.col("avg_output_length") < 100, "⚠ Outputs are very short — consider using Research mode.")
-    same = F.when(
-        F.col("unique_ratio") < 0.70,
-        "⚠ Many duplicate instructions — increase dataset_size or source material.",
-    )
+    short = F.when(F.col("avg_output_length") < 100, SHORT_OUTPUTS)
+    same = F.when(F.col("unique_ratio") < 0.70, SAME_INSTRUCTIONS)
     details = F.concat_ws(
         " · ",
         F.format_string("%d records generated", "record_count"),
@@ -43,8 +34,7 @@ def score(records: DataFrame) -> DataFrame:
         short,
         same,
     )
-    empty = "Dataset is empty — no valid records produced."
-    details = F.when(F.col("record_count") == 0, empty).otherwise(details)
+    details = F.when(F.col("record_count") == 0, EMPTY_DATASET).otherwise(details)
     return figures.select(grade.otherwise("BAD").alias("grade"), *figures.columns, details.alias("details"))
 
 

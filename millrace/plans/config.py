@@ -6,6 +6,8 @@ import re
 from dataclasses import dataclass, fields
 from enum import Enum
 
+from ..contract import EVOLUTIONS
+
 HIDDEN = "***REDACTED***"
 _MODEL = re.compile(r"[\w\-. /@,:]+", re.ASCII)
 _REPO = re.compile(r"[\w.-]+/[\w.-]+", re.ASCII)
@@ -14,22 +16,22 @@ _REPO = re.compile(r"[\w.-]+/[\w.-]+", re.ASCII)
 class QualityMode(str, Enum):
     """How often instructions are evolved: once, twice or three times."""
 
-    RESEARCH = "research"
-    BALANCED = "balanced"
     FAST = "fast"
+    BALANCED = "balanced"
+    RESEARCH = "research"
 
     @property
     def evolutions(self) -> int:
-        return 1 + ["fast", "balanced", "research"].index(self.value)
+        return EVOLUTIONS[self.value]
 
 
 class OutputFormat(str, Enum):
     """Formats of the exported dataset."""
 
-    OPENAI = "openai"
-    CHATML = "chatml"
-    SHAREGPT = "sharegpt"
     ALPACA = "alpaca"
+    SHAREGPT = "sharegpt"
+    CHATML = "chatml"
+    OPENAI = "openai"
 
 
 def _printable(value: str) -> bool:
@@ -89,25 +91,25 @@ class GenerationConfig:
     """Settings of a job. Wrong ones are a ValueError when it is made."""
 
     teacher_model: str
-    api_key: str | None = None
+    judge_model: str | None = "gpt-4o-mini"
     base_model: str = "unsloth/mistral-7b-bnb-4bit"
-    batch_size: int = 64
-    checkpoint_dir: str | None = None
+    use_vllm: bool = True
+    api_key: str | None = None
     dataset_size: int = 2000
-    enable_dedup: bool = True
-    hf_repo: str | None = None
-    hf_token: str | None = None
-    judge_model: str | None = "gpt-4o-mini"
-    lora_rank: int = 16
-    max_new_tokens: int = 2048
-    output_format: OutputFormat = OutputFormat.ALPACA
-    publish_dataset: bool = False
     quality_mode: QualityMode = QualityMode.BALANCED
-    sanitize_dataset: bool = False
+    output_format: OutputFormat = OutputFormat.ALPACA
     temperature: float = 0.7
-    train_model: bool = False
+    max_new_tokens: int = 2048
+    batch_size: int = 64
     use_semantic_chunking: bool = False
-    use_vllm: bool = True
+    enable_dedup: bool = True
+    sanitize_dataset: bool = False
+    checkpoint_dir: str | None = None
+    train_model: bool = False
+    lora_rank: int = 16
+    publish_dataset: bool = False
+    hf_repo: str | None = None
+    hf_token: str | None = None
 
     def __post_init__(self) -> None:
         put = lambda name, value: object.__setattr__(self, name, value)

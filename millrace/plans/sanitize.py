@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..contract import MASK_CARD, MASK_PHONE, MASK_SSN
 from ..functions import pii
 from ..functions.quality import Gates, reason
 from ..functions.text import clean_text, quality_text, record_hash
@@ -65,8 +66,11 @@ def sanitize_records(
         cleaned = cleaned.withColumn("pii", found).withColumns({f: F.col(f"__mr_{f}") for f in fields})
     else:
         cleaned = cleaned.withColumn("pii", found)
-    gated = cleaned.withColumn("__mr_reason", reason(quality_text([F.col(f) for f in fields]), settings.gates))
-    gated = gated.withColumn("__mr_hash", record_hash({f: F.col(f) for f in fields}))
+    # The gates name their text often; as a column of its own it is made once.
+    gated = cleaned.withColumn("__mr_text", quality_text([F.col(f) for f in fields]))
+    gated = gated.withColumn("__mr_reason", reason(F.col("__mr_text"), settings.gates))
+    # Cleaned fields have single spaces already, so that only their case is left to fold.
+    gated = gated.withColumn("__mr_hash", record_hash({f: F.lower(f) for f in fields}, normalise=False))
     marked = _marked(gated, settings, order)
     why = F.when(F.col("status") == "require", "missing required field").otherwise(F.col("__mr_reason"))
     return marked.select(*records.columns, "pii", why.alias("reason"), "status")
@@ -75,7 +79,7 @@ def sanitize_records(
 # The same rules on one JSON value, for records of any shape.
 
 _PATTERNS = [(kind, name, re.compile(pattern)) for kind, name, pattern in pii.PATTERNS]
-_SPACE, _CONTROL, _TAG = re.compile(r"\s+"), re.compile(r"[\x7F-\x9F\x00-\x1F]"), re.compile(r"<[^>]+>")
+_SPACE, _CONTROL, _TAG = re.compile(r"\s+"), re.compile(r"[\x00-\x1F\x7F-\x9F]"), re.compile(r"<[^>]+>")
 _CANDIDATE, _WORD = re.compile(pii.CANDIDATE), re.compile(r"\w+")
 
 
@@ -86,8 +90,8 @@ def mask_match(kind: str, match: str) -> str:
         return ("***" if len(local) <= 1 else f"{local[0]}***{local[-1]}") + "@" + domain
     if kind == "ip":
         return ".".join([*match.split(".")[:2], "***", "***"])
-    digits = re.sub(r"\D", "", match)
-    return {"phone": "***-***-", "card": 3 * "****-", "ssn": "***-**-"}[kind] + (digits[-4:] if len(digits) >= 4 else "****")
+    digits = re.sub("[^0-9]", "", match)
+    return {"phone": MASK_PHONE, "card": MASK_CARD, "ssn": MASK_SSN}[kind] + (digits[-4:] if len(digits) >= 4 else "****")
 
 
 def sanitize_text(text: str, settings: Sanitizer) -> tuple[str, bool]:

@@ -8,18 +8,22 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.records import MAX_SOURCE_BYTES, acceptable_upload
+from ..contract import MAX_SOURCE_BYTES
+from ..operators.records import acceptable_upload
+from ..operators.split import numbered
 
 
 def read_source(spark: SparkSession, path: str, max_bytes: int = MAX_SOURCE_BYTES) -> DataFrame:
-    """``(doc_id, path, text)`` of the UTF-8 files under ``path``, in order of their paths.
+    """``(doc_id, path, text)`` of the UTF-8 files under ``path``; ``doc_id`` counts from 0 in the order of paths.
 
     A file of more than ``max_bytes`` is an error when the text is read; sizes are known from the listing alone.
     """
     files = spark.read.format("binaryFile").load(path)
     over = F.raise_error(F.concat(F.lit("source file is too large: "), F.col("path"))).cast("binary")
     content = F.when(F.col("length") > max_bytes, over).otherwise(F.col("content"))
-    return files.select(F.xxhash64("path").alias("doc_id"), "path", F.decode(content, "UTF-8").alias("text"))
+    # Paths alone are numbered, by partition; contents are not read for it.
+    places = numbered(files.select("path"), ["path"], "doc_id")
+    return files.join(places, "path").select("doc_id", "path", F.decode(content, "UTF-8").alias("text"))
 
 
 def read_uploads(

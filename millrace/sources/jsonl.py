@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MAX_RECORDS = 500_000
+from ..contract import MAX_RECORDS
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -89,19 +89,35 @@ def write_jsonl(rows: DataFrame, path: str, order: str | None = "rec_id", single
 def replace_lines(lines: DataFrame, path: str, order: str = "rec_id") -> bool:
     """Put lines ``(order, value)`` in the place of ``path``, or leave it as it is where there are none or writing fails.
 
-    The lines are written next to it first and only moved when complete. Returns whether they were.
+    The lines are written next to it first. When they are complete the original is moved aside, they take its place,
+    and only then is it deleted; if they can't be moved it is put back. Returns whether they took the place.
     """
     spark = lines.sparkSession
-    aside = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
+    name = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    target, new = hadoop(path), hadoop(aside)
+    target, new, old = hadoop(path), hadoop(f"{name}.new"), hadoop(f"{name}.old")
     fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     try:
-        lines.orderBy(order).select("value").write.text(aside)
-        if spark.read.text(aside).isEmpty():
+        lines.orderBy(order).select("value").write.text(new.toString())
+        if spark.read.text(new.toString()).isEmpty():
             return False
-        fs.delete(target, True)
-        return bool(fs.rename(new, target))
+        there = fs.exists(target)
+        if there and not _rename(fs, target, old):
+            return False
+        moved = False
+        try:
+            moved = _rename(fs, new, target)
+        finally:
+            if there and not moved and not _rename(fs, old, target):
+                raise OSError(f"{path} could not be put back; it is kept as {old.toString()}")
+        if there:
+            fs.delete(old, True)
+        return moved
     finally:
         if fs.exists(new):
             fs.delete(new, True)
+
+
+def _rename(fs, source, target) -> bool:
+    """Whether a folder could be renamed."""
+    return bool(fs.rename(source, target))
