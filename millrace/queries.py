@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import pii, text
 from .functions.quality import Gates, reason
 from .operators import chunk, dedup, formats, records, score, split
+from .plans.distil import read_checkpoint, sanitize_in_place, write_checkpoint
+from .plans.export import export_alpaca
 from .plans.generate import StubModel, distil
+from .plans.report import score_dataset
 from .plans.sanitize import Sanitizer, sanitize_lines, sanitize_records
-from .sources.jsonl import as_json, parse_records
+from .runtime import shared_folder
+from .sources.jsonl import as_json, parse_records, read_lines, write_jsonl
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -453,12 +459,127 @@ def safe_names(spark, sf_dir):
     return _table(spark, sf_dir, "pages").select("page_id", records.safe_name(F.col("url")).alias("safe"))
 
 
-@_query("distilled")
+#: Gates that every nested record passes: the gates themselves have rows of their own.
+_NESTED = Gates(min_chars=0, max_chars=1 << 30, min_words=0, min_unique_ratio=0.0, min_ascii_ratio=0.0)
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    """A new place in the shared folder for what a query writes; it stays until that folder is cleared."""
+    return f"{shared_folder(spark)}/millrace-query-{name}-{uuid.uuid4().hex}"
+
+
+@_query(
+    "distilled",
+    f"""WITH {_DOCS}, p AS (SELECT rec_id, '{records.PROMPT.replace(chr(10), "' || chr(10) || '")}' || output AS instruction FROM docs ORDER BY rec_id LIMIT 200)
+SELECT rec_id, instruction, 'Answer ' || sha256(instruction || ' Explain why. Explain why.') || ' to: ' || left(instruction || ' Explain why. Explain why.', 200) AS output FROM p""",
+)
 def distilled(spark, sf_dir):
-    """J1-J4 with the deterministic model: not expressible in SQL."""
-    rows = records.prompts(chunk.chunk_documents(_table(spark, sf_dir, "documents"), semantic=True))
-    rows = split.first_rows(rows, 200, ["doc_id", "chunk_no"]).withColumn("instruction", F.col("prompt"))
-    return distil(rows, StubModel(), 2, keep=("doc_id", "chunk_no"))
+    """J1-J4, A11 with the deterministic model, whose answers follow from the instructions."""
+    rows = split.first_rows(records.prompts(_documents(spark, sf_dir), "output"), 200, ["rec_id"])
+    rows = rows.select("rec_id", F.col("prompt").alias("instruction"))
+    return distil(rows, StubModel(), 2, keep=("rec_id",))
+
+
+@_query("exported_dataset", f"WITH {_PAIRS} SELECT row_number() OVER (ORDER BY rec_id) AS line_no, instruction, input, output FROM pairs")
+def exported_dataset(spark, sf_dir):
+    """Pairs written as raw lines, read with their numbers, exported, written and read again."""
+    raw, target = _folder(spark, "raw"), _folder(spark, "alpaca")
+    write_jsonl(_pairs(spark, sf_dir), raw)
+    export_alpaca(spark, raw, target)
+    fields = F.from_json("line", "instruction string, input string, output string").alias("r")
+    return read_lines(spark, target).select("line_no", fields).select("line_no", "r.*")
+
+
+@_query(
+    "sanitized_in_place",
+    f"""WITH {_DOCS}, {_STATUS} SELECT row_number() OVER (ORDER BY rec_id) AS line_no, md5(instruction || chr(1) || output) AS h FROM s WHERE status = 'kept'""",
+)
+def sanitized_in_place(spark, sf_dir):
+    """A written dataset sanitised in its place and read again."""
+    path = _folder(spark, "dataset")
+    write_jsonl(_documents(spark, sf_dir), path)
+    sanitize_in_place(spark, path, "alpaca")
+    fields = F.from_json("line", "instruction string, output string").alias("r")
+    lines = read_lines(spark, path).select("line_no", fields)
+    return lines.select("line_no", F.md5(F.concat_ws("\x01", "r.instruction", "r.output")).alias("h"))
+
+
+@_query("stored_checkpoint", f"WITH {_PAIRS} SELECT rec_id, instruction FROM pairs WHERE instruction NOT IN (SELECT instruction FROM pairs WHERE rec_id % 4 < 2)")
+def stored_checkpoint(spark, sf_dir):
+    """Hashes saved in two steps, loaded, and what they leave to do."""
+    rows, folder = _pairs(spark, sf_dir), _folder(spark, "checkpoint")
+    for part in (0, 1):
+        write_checkpoint(records.finished_hashes(rows.filter(F.col("rec_id") % 4 == part), "instruction"), folder)
+    return records.remaining(rows, read_checkpoint(spark, folder), "instruction").select("rec_id", "instruction")
+
+
+@_query(
+    "scored_file",
+    f"""WITH {_PAIRS}, a AS (SELECT count(*) AS record_count, avg(length(output)) AS avg_output_length, count(DISTINCT instruction)::DOUBLE / count(*) AS unique_ratio FROM pairs)
+SELECT CASE WHEN record_count >= 100 AND avg_output_length >= 300 AND unique_ratio >= 0.95::DOUBLE THEN 'SUPER'
+  WHEN record_count >= 50 AND avg_output_length >= 200 AND unique_ratio >= 0.85::DOUBLE THEN 'GOOD'
+  WHEN record_count >= 20 AND avg_output_length >= 100 AND unique_ratio >= 0.7::DOUBLE THEN 'NORMAL' ELSE 'BAD' END AS grade, record_count, avg_output_length, unique_ratio FROM a""",
+)
+def scored_file(spark, sf_dir):
+    """A written file with malformed and other lines among its records, scored."""
+    path = _folder(spark, "scored")
+    lines = as_json(_pairs(spark, sf_dir), "rec_id").select("value")
+    lines.unionByName(spark.createDataFrame([("broken {",), ("",), ("[1, 2]",)], "value string")).write.text(path)
+    return score_dataset(spark, path).drop("details")
+
+
+@_query("numbered_ssn", "SELECT doc_id, 'call ***-**-' || lpad((doc_id % 10000)::VARCHAR, 4, '0') || ' now' AS masked, 'call [PII_SSN] now' AS redacted FROM documents")
+def numbered_ssn(spark, sf_dir):
+    """D14, D19, which no document has by itself."""
+    text_ = F.format_string("call 123-45-%04d now", F.col("doc_id") % 10000)
+    docs = _table(spark, sf_dir, "documents")
+    return docs.select("doc_id", pii.redact_pii(text_, mask=True).alias("masked"), pii.redact_pii(text_).alias("redacted"))
+
+
+@_query("compatibility_forms", "SELECT doc_id, md5('ABC 1fi x2 é ' || nfc_normalize(text)) AS h FROM documents")
+def compatibility_forms(spark, sf_dir):
+    """D2 where it changes every text: wide letters, a circled digit, a ligature, a superscript and a combining accent."""
+    wide = F.concat(F.lit("ＡＢＣ ①ﬁ x² e\u0301 "), F.col("text"))
+    return _table(spark, sf_dir, "documents").select("doc_id", F.md5(text.nfkc(wide)).alias("h"))
+
+
+@_query(
+    "safe_file_names",
+    "SELECT page_id, name, regexp_full_match(name, '[\\p{L}\\p{N}_\\-. ]+') AS safe FROM (SELECT page_id, CASE WHEN page_id % 2 = 0 THEN regexp_replace(url, '[^a-z0-9.]+', '_', 'g') ELSE url END AS name FROM pages)",
+)
+def safe_file_names(spark, sf_dir):
+    """B8 with names of both kinds."""
+    name = F.when(F.col("page_id") % 2 == 0, F.regexp_replace("url", "[^a-z0-9.]+", "_")).otherwise(F.col("url"))
+    return _table(spark, sf_dir, "pages").select("page_id", name.alias("name")).withColumn("safe", records.safe_name(F.col("name")))
+
+
+@_query(
+    "nested_records",
+    f"""WITH {_DOCS}, {_STATUS} SELECT rec_id, CASE WHEN rec_id % 5 = 4 THEN 'not a dict' END AS reason,
+  CASE WHEN rec_id % 5 <> 4 THEN md5(instruction || chr(1) || output) END AS h FROM s""",
+)
+def nested_records(spark, sf_dir):
+    """Texts deep inside JSON, every fifth line a list instead of an object."""
+    docs = _documents(spark, sf_dir)
+    nested = F.struct(F.col("instruction").alias("kind"), F.lit(7).alias("n"), F.array(F.struct(F.col("output").alias("body"))).alias("parts"))
+    line = F.when(F.col("rec_id") % 5 == 4, F.to_json(F.array("output"))).otherwise(F.to_json(F.struct(F.lit("").alias("input"), nested.alias("meta"))))
+    done = sanitize_lines(docs.select(F.col("rec_id").alias("line_no"), line.alias("line")), Sanitizer(deduplicate=False, nested_text=True, gates=_NESTED))
+    body = F.from_json("value", "meta struct<kind string, n int, parts array<struct<body string>>>")
+    return done.select("rec_id", "reason", body.alias("r")).select(
+        "rec_id", "reason", F.when(F.col("r").isNotNull(), F.md5(F.concat_ws("\x01", "r.meta.kind", F.col("r.meta.parts")[0]["body"]))).alias("h")
+    )
+
+
+@_query(
+    "sft_text_with_input",
+    f"""WITH {_PAIRS} SELECT rec_id, '### Instruction:' || chr(10) || instruction || chr(10) || chr(10) || CASE WHEN rec_id % 2 = 0
+  THEN '### Input:' || chr(10) || output || chr(10) || chr(10) ELSE '' END || '### Response:' || chr(10) || output || '</s>' AS text FROM pairs""",
+)
+def sft_text_with_input(spark, sf_dir):
+    """D30 with an input in every other record, a blank one in the rest."""
+    given = F.when(F.col("rec_id") % 2 == 0, F.col("output")).otherwise(F.lit(" \n"))
+    made = text.sft_text(F.col("instruction"), given, F.col("output"))
+    return _pairs(spark, sf_dir).select("rec_id", made.alias("text"))
 
 
 def queries() -> dict:

@@ -86,7 +86,7 @@ def test_sanitise_nested_turns(spark):
 
 
 def test_both_sanitisers_agree(spark):
-    rows = [(i, f"{GOOD} {i % 5}", "", t) for i, t in enumerate(["Ａ wide text, of é words", "mail a@b.co or 10.1.2.3", None, "", "x\x07y <i>z</i> and words"] * 3)]
+    rows = [(i, f"{GOOD} {i % 5}", "", t) for i, t in enumerate(["Ａ wide text, of é words", "digits ١٢٣-٤٥-٦٧٨٩ and 123-45-6789 here", "mail a@b.co or 10.1.2.3", None, "", "x\x07y <i>z</i> and words"] * 3)]
     df = spark.createDataFrame(rows, "rec_id long, instruction string, input string, output string")
     a = {r.rec_id: (r.output, r.status, r.pii) for r in sanitize_records(df, SMALL).collect()}
     lines = jsonl.as_json(df, "rec_id").select(F.col("rec_id").alias("line_no"), F.col("value").alias("line"))
@@ -105,6 +105,19 @@ def test_replace_keeps_the_original_where_nothing_is_left(spark, tmp_path):
     assert lines_of(spark, path) == ["x", "y"] and [p.name for p in tmp_path.iterdir()] == ["d"]
 
 
+def test_replace_keeps_the_original_where_renaming_fails(spark, tmp_path, monkeypatch):
+    path = tmp_path / "d"
+    jsonl.write_jsonl(spark.createDataFrame([(1, "a")], "rec_id long, v string"), str(path))
+    new = spark.createDataFrame([(1, "x")], "rec_id long, value string")
+    rename, calls = jsonl._rename, []
+    monkeypatch.setattr(jsonl, "_rename", lambda fs, a, b: bool(calls.append(b.toString())) if a.toString().endswith(".new") else rename(fs, a, b))
+    assert not jsonl.replace_lines(new, str(path)) and calls == [str(path)]
+    assert lines_of(spark, path) == ['{"v":"a"}'] and [p.name for p in tmp_path.iterdir()] == ["d"]
+    monkeypatch.setattr(jsonl, "_rename", lambda fs, a, b: False)
+    assert not jsonl.replace_lines(new, str(path))
+    assert lines_of(spark, path) == ['{"v":"a"}'] and [p.name for p in tmp_path.iterdir()] == ["d"]
+
+
 class Long(generate.StubModel):
     def answer(self, instructions):
         return [f"{'An answer of many different words about it. ' * 3}{i}" for i in instructions]
@@ -170,6 +183,8 @@ def test_text_sources(spark, tmp_path):
     plain = files.read_uploads(spark, str(tmp_path))
     assert files.merge_uploads(plain).first().text == "first é\n\nsecond\n\n"
     assert files.read_source(spark, str(tmp_path / "a.txt")).first().text == "first é"
+    in_order = files.read_source(spark, str(tmp_path / "*.txt")).select("doc_id", "path").orderBy("doc_id").collect()
+    assert [r.doc_id for r in in_order] == [0, 1, 2, 3] and [r.path for r in in_order] == sorted(r.path for r in in_order)
     with pytest.raises(Exception, match="too large"):
         files.read_source(spark, str(tmp_path / "a.txt"), max_bytes=3).collect()
     assert files.from_rows(spark, [{"a": 1}, {"b": "x"}]).count() == 2

@@ -80,6 +80,12 @@ def sequential(rows, threshold=0.85):
     return {i for i, _, _ in kept}
 
 
+def test_nulls_are_no_texts_to_exact_dedup(spark):
+    rows = [(1, None, "a"), (2, "a", None), (3, None, "a"), (4, None, None), (5, "null", "a"), (6, "a", "b"), (7, "a", "b")]
+    df = spark.createDataFrame(rows, "rec_id long, instruction string, output string")
+    assert sorted(r.rec_id for r in dedup.exact(df).collect()) == [1, 2, 4, 5, 6]
+
+
 @pytest.mark.parametrize("partitions", [1, 7])
 def test_near_dedup_is_first_come_first_served(spark, monkeypatch, partitions):
     monkeypatch.setattr(dedup, "BLOCK", 16)
