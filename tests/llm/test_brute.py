@@ -550,6 +550,41 @@ def test_inverted_join_is_exact(spark):
         assert got == want
 
 
+def test_a_share_at_the_threshold_is_a_pair(spark):
+    # 0.56 * 25 is more than 14 in floating numbers, 14 / 25 is not less than 0.56
+    rows = [(1, [*range(14), *[50] * 11]), (2, [*range(14), *[60] * 11]), (3, [*range(13), *[70] * 12])]
+    df = spark.createDataFrame(rows, "doc_id long, sig array<int>")
+    assert [tuple(r) for r in near_dedup.similar_signatures(df, 25, 0.56).collect()] == [(1, 2, 14)]
+    for threshold in (0.0, 1.5):
+        with pytest.raises(ValueError, match="threshold"):
+            near_dedup.similar_signatures(df, 25, threshold)
+
+
+def test_classes_count_every_link(spark):
+    rng = random.Random(10)
+    words = [f"w{i}" for i in range(400)]
+    texts = []
+    for _ in range(12):
+        base = rng.sample(words, 60)
+        for k in range(5):
+            near = list(base)
+            near[rng.randrange(60)] = f"x{k}"
+            texts += [" ".join(near)] * rng.randrange(1, 4)
+    rows = list(enumerate(texts))
+    # Ids 0 and 1 have a second text each, like another's; 2 repeats; the last have no words.
+    rows += [(0, texts[-1]), (1, texts[20] + " y"), (2, texts[2]), (900, None), (901, " - "), (None, texts[0])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sigs = sorted({(r.doc_id, tuple(r.sig)) for r in near_dedup.signatures(docs).collect()})
+    linked = [(i, j) for (i, (_, a)), (j, (_, b)) in itertools.combinations(enumerate(sigs), 2) if sum(map(int.__eq__, a, b)) / 96 >= 0.6]
+    root = groups(linked, range(len(sigs)))
+    want = Counter((sigs[i][0], min(sigs[j][0] for j in root if root[j] == root[i]), sum(i in p for p in linked)) for i in range(len(sigs)))
+    want += Counter([(900, 900, 0), (901, 901, 0)])
+    assert Counter(tuple(r) for r in near_dedup.near_duplicate_classes(docs).collect()) == want
+    # More than those of the pairs that stand for them.
+    assert len(linked) > near_dedup.near_duplicates(docs).count()
+    assert near_dedup.near_duplicate_classes(docs.limit(0)).count() == 0
+
+
 def test_recall_against_jaccard(spark, docs):
     found = near_dedup.near_duplicates(spark.createDataFrame(docs[["doc_id", "text"]])).collect()
     near = jaccard_pairs(dict(zip(docs.doc_id, docs.text)), 0.4)
