@@ -585,6 +585,12 @@ def test_classes_count_every_link(spark):
     assert near_dedup.near_duplicate_classes(docs.limit(0)).count() == 0
 
 
+def test_near_dedup_query_has_a_row_for_each_document(spark):
+    got = queries.queries()["op7_near_dedup"](spark, SF)
+    ids = [r.doc_id for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id").collect()]
+    assert got.columns == ["doc_id", "class_id", "links"] and sorted(r.doc_id for r in got.collect()) == sorted(ids)
+
+
 def test_recall_against_jaccard(spark, docs):
     found = near_dedup.near_duplicates(spark.createDataFrame(docs[["doc_id", "text"]])).collect()
     near = jaccard_pairs(dict(zip(docs.doc_id, docs.text)), 0.4)
