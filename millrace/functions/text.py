@@ -1,37 +1,24 @@
-"""Text and hash functions on columns, in built-in expressions except Unicode normalisation."""
+"""Text and hash functions on columns, in built-in expressions, and ICU's for Unicode normalisation."""
 
 from __future__ import annotations
 
-import unicodedata
 from collections.abc import Callable
 
-import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 #: A word as Unicode sees it; unlike ``\\w`` it means the same to every regular-expression engine in use here.
 WORD = r"[\p{L}\p{N}_]+"
-#: What NFKC may change. ASCII, the composed letters of Latin-1 and Latin Extended-A that have no compatibility form,
-#: and plain dashes and quotation marks never change, nor do they join with one another.
-_CHANGEABLE = (
-    r"[^\x00-\x7F\x{C0}-\x{131}\x{134}-\x{13E}\x{141}-\x{148}\x{14A}-\x{17E}\x{2013}\x{2014}\x{2018}-\x{201E}]"
-)
 _SPACES = r"[\s\p{Z}]+"
 #: Control characters become spaces before runs of these become one, so both go in one pass.
 _BLANKS = r"[\s\p{Z}\x00-\x1F\x7F-\x9F]+"
 
 
-@F.arrow_udf(StringType())
-def _nfkc(texts: pa.Array) -> pa.Array:
-    # Not by pyarrow's own kernel, whose composed forms come out decomposed.
-    return pa.array([None if t is None else unicodedata.normalize("NFKC", t) for t in texts.to_pylist()], pa.string())
-
-
 def nfkc(text: Column) -> Column:
-    """NFKC form. Texts of characters that it never changes reach Python as nulls of no length."""
-    open_ = text.rlike(_CHANGEABLE)
-    return F.when(open_, _nfkc(F.when(open_, text))).otherwise(text)
+    """NFKC form, by the ICU library that Spark brings along: in the JVM, and no text is gathered for it."""
+    # Spark takes the call for one whose results differ, so that it is never repeated for the columns made from it.
+    composed = F.java_method(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), text, F.lit(True))
+    return F.when(text.isNotNull(), composed)
 
 
 def strip_html(text: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -103,3 +105,10 @@ def test_sft_text(spark):
     a, b = (r.t for r in df.select(text.sft_text(F.col("i"), F.col("n"), F.col("o")).alias("t")).collect())
     assert a == "### Instruction:\ndo\n\n### Response:\ndone</s>"
     assert b == "### Instruction:\ndo\n\n### Input:\nthis\n\n### Response:\ndone</s>"
+
+
+def test_nfkc_is_that_of_unicode_and_made_in_the_jvm(spark):
+    rows = ["ＡＢＣ ①ﬁ x² é", "Ångström ẛ̣ 각", "½…ĳ x", "plain", "", None]
+    df = spark.createDataFrame([(r,) for r in rows], "t string").select("t", text.nfkc(F.col("t")).alias("n"))
+    assert all(r.n == (None if r.t is None else unicodedata.normalize("NFKC", r.t)) for r in df.collect())
+    assert "Python" not in df._jdf.queryExecution().executedPlan().toString().replace("PythonRDD", "")
