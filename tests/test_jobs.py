@@ -6,10 +6,11 @@ import json
 import shutil
 import uuid
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.plans import config, distil, export, generate, report
+from millrace.plans import config, distil, export, generate, report, sanitize
 from millrace.plans.sanitize import Gates, Sanitizer, sanitize_lines, sanitize_records
 from millrace.operators.score import counters
 from millrace.sources import files, jsonl
@@ -96,6 +97,26 @@ def test_both_sanitisers_agree(spark):
             assert (json.loads(r.value)["output"], r.pii) == (a[r.rec_id][0], a[r.rec_id][2])
 
 
+def test_lines_are_sanitised_in_pieces_of_bounded_size(monkeypatch):
+    monkeypatch.setattr(sanitize, "SLICE_BYTES", 1_000)
+    lines = ["x" * n for n in (10, 3_000, 400, 400, 400, 0, 900)] + [None] + ["y" * 90] * 100
+    batch = pa.record_batch([pa.array(range(len(lines)), pa.int64()), pa.array(lines)], ["line_no", "line"])
+    pieces = [p.column(1).to_pylist() for p in sanitize._slices(batch)]
+    assert [x for p in pieces for x in p] == lines
+    assert all(sum(len(x or "") for x in p[1:]) < 1_000 for p in pieces) and len(pieces) > 10
+    assert not list(sanitize._slices(batch.slice(0, 0)))
+
+
+def test_gates_see_whole_texts(spark):
+    whole = " ".join(f"word{i}" for i in range(2_000))  # 16,890 characters
+    outputs = [whole, whole + " Ж" * 1_500, whole[:9_000] + " same" * 2_000, whole * 2]
+    df = spark.createDataFrame([(i, GOOD, "", o) for i, o in enumerate(outputs)], "rec_id long, instruction string, input string, output string")
+    settings = Sanitizer(gates=Gates(min_ascii_ratio=0.95, min_unique_ratio=0.5))
+    lines = jsonl.as_json(df, "rec_id").select(F.col("rec_id").alias("line_no"), F.col("value").alias("line"))
+    for got in (sanitize_records(df, settings), sanitize_lines(lines, settings)):
+        assert {r.rec_id: r.reason for r in got.collect()} == {0: None, 1: "low ASCII ratio", 2: "low unique-word ratio", 3: "too long"}
+
+
 def test_replace_keeps_the_original_where_nothing_is_left(spark, tmp_path):
     path = tmp_path / "d"
     jsonl.write_jsonl(spark.createDataFrame([(1, "a")], "rec_id long, v string"), str(path))
