@@ -104,6 +104,46 @@ def test_near_dedup_is_first_come_first_served(spark, monkeypatch, partitions):
     assert {r.rec_id for r in dedup.deduplicate(df).collect()} == sequential(rows)
 
 
+def varied(rng, n):
+    """Records of which many are near an earlier one, and some of these near one that is dropped."""
+    rows = []
+    for i in range(n):
+        if rows and rng.random() < 0.7:
+            _, inst, out = rng.choice(rows)
+            letters = list(out)
+            for _ in range(rng.randint(0, 8)):
+                letters[rng.randrange(len(letters))] = rng.choice("abcdefgh ")
+            rows.append((i * 3 + 1, rng.choice([inst, inst, inst + "!", f"own {i}"]), "".join(letters)))
+        else:
+            rows.append((i * 3 + 1, rng.choice(["a", "", "Explain this", "Tell me about it"]), "".join(rng.choice("abcdefgh ") for _ in range(rng.randint(1, 160)))))
+    return rows
+
+
+@pytest.mark.parametrize("rows, trigrams, parted, often", [(50, 10**6, 512, 1 / 1024), (10**6, 3_000, 0, 1 / 4), (150, 10**6, 512, 0)])
+def test_near_dedup_in_batches_is_first_come_first_served(spark, monkeypatch, rows, trigrams, parted, often):
+    for name, value in {"BLOCK": 16, "STRIP": 4, "ROWS": rows, "TRIGRAMS": trigrams, "PARTED": parted, "OFTEN": often, "WIDTH": 100}.items():
+        monkeypatch.setattr(dedup, name, value)
+    made = varied(random.Random(rows), 200)
+    df = spark.createDataFrame(made, "rec_id long, instruction string, output string").repartition(3)
+    assert {r.rec_id for r in dedup.deduplicate(df).collect()} == sequential(made)
+    assert dedup.deduplicate(df.limit(0)).collect() == []
+
+
+def test_disk_of_near_dedup_grows_with_the_records_and_not_with_their_pairs(spark):
+    from pathlib import Path
+
+    def stored(n):
+        size = lambda: sum(p.stat().st_size for p in Path(spark.conf.get("spark.checkpoint.dir")).rglob("*") if p.is_file())
+        before, rng = size(), random.Random(n)
+        text = [rng.choice("abcdefgh ") for _ in range(200)]
+        rows = [(i, "a", "".join(text[:k] + ["x"] + text[k + 1 :])) for i in range(n) for k in [rng.randrange(200)]]
+        assert dedup.deduplicate(spark.createDataFrame(rows, "rec_id long, instruction string, output string")).count() == 1
+        return size() - before
+
+    small = stored(300)
+    assert stored(1200) < 5 * small
+
+
 def test_gates_of_records(spark):
     df = spark.createDataFrame([("a", " "), ("b", "x"), (None, "y")], "instruction string, output string").withColumn("n", F.lit(0)).withColumn("e", F.array())
     ok = lambda f: [r.o for r in df.select(records.has_required(df, f).alias("o")).collect()]
